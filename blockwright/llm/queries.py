@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from blockwright.llm import mixing, sharding
+from blockwright.llm import mixing, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
 }
 ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL}
