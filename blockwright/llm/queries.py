@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from blockwright.llm import mixing, sharding, substring, toxicity
+from blockwright.llm import minhash, mixing, sharding, substring, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
+    "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL}
