@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from blockwright.llm import bpe, minhash, mixing, sharding, substring, toxicity
+from blockwright.llm import bpe, embed_dedup, minhash, mixing, sharding, substring, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_bpe": bpe.op2_bpe,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
+    "op5_embedding_near_dedup": embed_dedup.op5_embedding_near_dedup,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
