@@ -5,10 +5,12 @@ weight, each arrival to a random slot; a slot keeps the shingle that arrives fir
 arrival is later than all slots' first ones, so a text costs little more than one draw per shingle. Two texts agree in
 a slot with a probability equal to their probability Jaccard similarity.
 
-Slots are banded; texts that share a band are candidates. In a band each text is compared with the band's least key,
-then, where the band still holds texts of several groups, with the greatest, and where it does even then, with every
-text of another group. So no group is expanded into all pairs, and no candidate link between groups is left untested:
-a link that is never tested lies inside one group already. Candidates are verified by the exact similarity.
+Slots are banded; texts that share a band share the band's least key, so candidates are grouped by least keys, once for
+all bands. A group is dealt into chunks of bounded size, and each chunk, with the group's least key in it, is compared
+completely by exact similarity; chunks hand on their links as stars. That settles every group of one chunk, and of a
+larger one all texts linked with its least key. Only texts of a larger group that are still apart from it are compared
+with the group's other chunks, block against block. So pairs are never emitted, copies linked with the least key cost
+time in proportion to their number, and no candidate link is left untested but inside what is linked already.
 
 At a similarity of 0.8, 20 bands of 4 slots miss about 3 pairs in 100,000, and groups are held by many pairs.
 
@@ -30,7 +32,10 @@ from blockwright.llm._words import Words, mix, runs, slices
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
-_TEXT_BYTES, _TEXTS = 4 << 20, 4000
+_TEXT_BYTES, _TEXTS = 2 << 20, 4000
+#: Texts, and bytes of text, that are compared at once, about.
+CHUNK, CHUNK_BYTES = 128, 8 << 20
+_COLUMNS = 4096
 _BITS = np.uint64(52)
 _LOW = np.uint64((1 << 52) - 1)
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -127,26 +132,76 @@ def _banded(bands: int, rows: int, size: int):
     return run
 
 
-def _verified(size: int, least: float):
-    def run(batches):
-        for b in batches:
-            good = np.zeros(b.num_rows, bool)
-            at = 0
-            while at < b.num_rows:
-                n, held = 0, 0
-                while at + n < b.num_rows and n < _TEXTS // 2 and (not n or held < _TEXT_BYTES):
-                    held += len(b.column("text_a")[at + n].as_buffer()) + len(b.column("text_b")[at + n].as_buffer())
-                    n += 1
-                part = b.slice(at, n)
-                texts = pa.concat_arrays([part.column("text_a"), part.column("text_b")])
-                for _, _, words in slices(texts, 1 << 62):
-                    doc, h, w = shingles(words, size)
-                    edge = np.searchsorted(doc, np.arange(2 * n + 1))
-                    for k in range(n):
-                        p, q = slice(edge[k], edge[k + 1]), slice(edge[n + k], edge[n + k + 1])
-                        good[at + k] = probability_jaccard(h[p], w[p], h[q], w[q]) >= least - 1e-12
-                at += n
-            yield b.select(["a", "b"]).filter(pa.array(good))
+def similar(words: Words, least: float, size: int = WORDS, across: np.ndarray | None = None) -> np.ndarray:
+    """The root (an index) of each text, after linking all texts of similarity >= ``least``.
+
+    ``across`` (bool by text) limits the pairs to those of a True and any other text. Shared shingles of all pairs come from
+    products of dense column chunks; where no weight exceeds 1 they give the similarity, elsewhere a bound for it.
+    """
+    n = words.n_docs
+    doc, h, w = shingles(words, size)
+    _, column, held = np.unique(h, return_inverse=True, return_counts=True)
+    total, count = np.bincount(doc, w, minlength=n), np.bincount(doc, minlength=n).astype(float)
+    shared = held[column] > 1
+    d, c, x = doc[shared], column[shared], w[shared]
+    used, c = np.unique(c, return_inverse=True)
+    both, part = np.zeros((n, n)), np.zeros((n, n))
+    weighted = np.zeros(n, bool)
+    weighted[doc[w > 1]] = True
+    order = np.argsort(c, kind="stable")
+    d, c, x = d[order], c[order], x[order]
+    for at in range(0, len(used), _COLUMNS):
+        lo, hi = np.searchsorted(c, [at, at + _COLUMNS])
+        ones = np.zeros((n, min(_COLUMNS, len(used) - at)), np.float32)
+        ones[d[lo:hi], c[lo:hi] - at] = 1
+        both += ones @ ones.T
+        if weighted.any():
+            mass = np.zeros_like(ones)
+            mass[d[lo:hi], c[lo:hi] - at] = x[lo:hi]
+            part += mass @ ones.T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        exact = both / (count[:, None] + count[None, :] - both)
+        bound = np.minimum(part / total[:, None], (part / total[:, None]).T) if weighted.any() else exact
+    plain = ~(weighted[:, None] | weighted[None, :])
+    wanted = np.triu(np.where(plain, exact, bound) >= least - 1e-9, 1) & (both > 0)
+    if across is not None:
+        wanted &= across[:, None] | across[None, :]
+    parent = np.arange(n)
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    edge = np.searchsorted(doc, np.arange(n + 1))
+    for i, j in zip(*np.nonzero(wanted), strict=True):
+        a, b = find(i), find(j)
+        if a == b:
+            continue
+        if not plain[i, j]:
+            p, q = slice(edge[i], edge[i + 1]), slice(edge[j], edge[j + 1])
+            if probability_jaccard(h[p], w[p], h[q], w[q]) < least - 1e-12:
+                continue
+        parent[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(n)], np.int64)
+
+
+def _compared(size: int, least: float):
+    """Links of one chunk, or of two, as stars: (a, b)."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        key = block.column("key").to_numpy()
+        _, one = np.unique(key, return_index=True)
+        block, key = block.take(pa.array(one)), key[one]
+        across = block.column("apart").to_numpy(zero_copy_only=False) if "apart" in block.schema.names else None
+        out_a, out_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(key) > 1:
+            for _, _, words in slices(block.column("text").combine_chunks(), 1 << 62):
+                root = similar(words, least, size, across)
+                moved = np.flatnonzero(root != np.arange(len(root)))
+                out_a, out_b = key[moved], key[root[moved]]
+        return pa.table({"a": out_a, "b": out_b})
 
     return run
 
@@ -155,41 +210,38 @@ def near_links(docs: DataFrame, size: int = WORDS, least: float = SIMILARITY, ba
     """(node, root): groups of two or more different texts, by their keys; ``docs`` has key, doc_id, text."""
     docs = docs.where("text is not null")
     banded = stored(docs.select("key", "text").mapInArrow(_banded(bands, rows, size), "band long, key long"), "bands")
-    ends = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
-    members = stored(banded.join(ends, "band").distinct(), "band-members")
+    ends = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("band", "lo")
+    members = stored(banded.join(ends, "band").select("lo", "key").distinct(), "candidate-groups")
     # One text per candidate key. The chosen row is joined by id too, so copies of one text do not meet in one task.
     wanted = docs.select("key", "doc_id").join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id"))
     wanted = stored(wanted.withColumnRenamed("key", "_key"), "candidates")
     texts = docs.join(wanted, (docs["key"] == wanted["_key"]) & docs["doc_id"].eqNullSafe(wanted["_id"])).select("key", "text")
     texts = stored(texts.dropDuplicates(["key"]), "candidate-texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-        two = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(size, least), "a long, b long")
-
-    def pair(hub: str, of: DataFrame) -> DataFrame:
-        return of.where(f"key <> {hub}").select(F.greatest("key", hub).alias("a"), F.least("key", hub).alias("b")).distinct()
-
-    def grouped(links: DataFrame) -> DataFrame:
-        return stored(components(links).withColumnRenamed("node", "key"), "groups")
-
-    def mixed_bands(groups: DataFrame) -> DataFrame:
-        """Members of bands that hold several groups, each with its group."""
-        known = members.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        several = known.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band")
-        return stored(known.join(several, "band"), "mixed-bands")
-
-    links = stored(verify(pair("lo", members)), "links-1")
-    groups = grouped(links)
-    mixed = mixed_bands(groups)
-    links = links.unionByName(stored(verify(pair("hi", mixed)), "links-2"))
-    groups = grouped(links)
-    mixed = mixed_bands(groups)
-    x, y = mixed.select("band", F.col("key").alias("a"), F.col("root").alias("ra")), mixed.select("band", F.col("key").alias("b"), F.col("root").alias("rb"))
-    rest = x.join(y, "band").where("ra <> rb and a > b").select("a", "b").distinct()
-    links = links.unionByName(stored(verify(rest), "links-3"))
-    return grouped(links).withColumnRenamed("key", "node")
+    sized = members.join(texts.select("key", F.octet_length("text").alias("bytes")), "key")
+    sized = stored(sized, "sized-groups")
+    pieces_needed = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).cast("int")
+    groups = stored(sized.groupBy("lo").agg(pieces_needed.alias("chunks")), "group-chunks")
+    dealt = stored(sized.join(groups, "lo").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")).cast("int")), "dealt-groups")
+    heads = groups.where("chunks > 1").select("lo", F.col("lo").alias("key"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    first = dealt.drop("bytes").unionByName(heads).join(texts, "key").select("lo", "chunk", "key", "text")
+    links = stored(first.groupBy("lo", "chunk").applyInArrow(_compared(size, least), "a long, b long").distinct(), "links-1")
+    linked = stored(components(links).withColumnRenamed("node", "key"), "linked-1")
+    # What is still apart from its group's least key, against the whole group.
+    large = dealt.where("chunks > 1").join(linked, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    head = large.where("key = lo").select("lo", F.col("root").alias("head_root"))
+    large = stored(large.join(head, "lo").withColumn("apart", F.col("root") != F.col("head_root")), "large-groups")
+    sides = large.where("apart").groupBy("lo").agg(pieces_needed.alias("sides"))
+    large = large.join(sides, "lo")
+    side = F.pmod(F.xxhash64("key", F.lit(2)), F.col("sides")).cast("int")
+    mine = large.where("apart").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    theirs = large.withColumn("other", F.col("chunk")).withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    pieces = ["lo", "side", "other", "key", "apart"]
+    blocks = mine.select(*pieces).unionByName(theirs.select(*pieces))
+    more = blocks.join(texts, "key").groupBy("lo", "side", "other").applyInArrow(_compared(size, least), "a long, b long").distinct()
+    more = stored(more, "links-2")
+    if more.isEmpty():
+        return linked.withColumnRenamed("key", "node")
+    return components(links.unionByName(more))
 
 
 def near_deduped(docs: DataFrame, size: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
