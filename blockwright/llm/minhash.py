@@ -215,7 +215,8 @@ def near_links(docs: DataFrame, size: int = WORDS, least: float = SIMILARITY, ba
     # One text per candidate key. The chosen row is joined by id too, so copies of one text do not meet in one task.
     wanted = docs.select("key", "doc_id").join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id"))
     wanted = stored(wanted.withColumnRenamed("key", "_key"), "candidates")
-    texts = docs.join(wanted, (docs["key"] == wanted["_key"]) & docs["doc_id"].eqNullSafe(wanted["_id"])).select("key", "text")
+    # Candidates grow with the corpus, so they are never broadcast, however few they are today.
+    texts = docs.join(wanted.hint("merge"), (docs["key"] == wanted["_key"]) & docs["doc_id"].eqNullSafe(wanted["_id"])).select("key", "text")
     texts = stored(texts.dropDuplicates(["key"]), "candidate-texts")
     sized = members.join(texts.select("key", F.octet_length("text").alias("bytes")), "key")
     sized = stored(sized, "sized-groups")
