@@ -17,7 +17,6 @@ the order of ``op9``; null ids come last there; other columns are ignored.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,47 +33,28 @@ SKIPPED = (
 ).split()
 CHAIN = 2
 _START = "\x02"
-_JOIN = "\x01"
+_SEPARATORS = r"[\s\p{Punct}]++"
 
 
-def _trie(words) -> str:
-    """A pattern for any of ``words`` that branches by letter, so a word is tried once and not word by word."""
-    root: dict = {}
-    for w in words:
-        at = root
-        for c in w:
-            at = at.setdefault(c, {})
-        at[""] = {}
+def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
+    """``df`` with ``out``, the sorted set of hashed spot signatures of the column ``text``, as array<int>.
 
-    def text(node: dict) -> str:
-        parts = [c + text(n) for c, n in sorted(node.items()) if c]
-        if not parts:
-            return ""
-        return ("(?:" + "|".join(parts) + ")" if len(parts) > 1 or "" in node else parts[0]) + ("?+" if "" in node else "")
-
-    return text(root)
-
-
-@lru_cache(4)
-def _patterns(chain: int) -> tuple[str, str]:
-    """One that captures antecedent and chain at every antecedent, and one for what a chain skips."""
-    sep, word = r"[\s\p{Punct}]", r"[^\s\p{Punct}\x01]"
-    common = _trie(sorted({*ANTECEDENTS, *SKIPPED}))
-    skip = f"(?:{sep}++{common}(?!{word}))*+"
-    link = f"{skip}{sep}++{word}++"
-    spot = f"(?<!{word})(?=((?:{_trie([*ANTECEDENTS, _START])})(?!{word}){link}" + f"(?:{link}" * (chain - 1) + ")?" * (chain - 1) + "))"
-    return spot, f"{sep}++{common}(?={sep})"
-
-
-def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """The sorted set of hashed spot signatures of a text, as array<int>."""
-    spot, skipped = _patterns(chain)
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.array_join(F.regexp_extract_all(F.concat(F.lit(f"{_START} "), low), F.lit(spot), F.lit(1)), _JOIN)
-    plain = F.regexp_replace(F.regexp_replace(found, skipped, ""), r"[\s\p{Punct}]++", " ")
-    some = F.transform(F.split(plain, _JOIN), lambda s: F.hash(s))
-    own = F.when(low == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(low)))
-    return F.array_sort(F.array_distinct(F.when(found == "", own).otherwise(some)))
+    Words are split once. With skipped words gone, the k-th antecedent, at place i, stands after i - k content words, so
+    its chain is a slice of the array of content words: every step is one pass over an array. The steps are columns of
+    their own, since each is read more than once.
+    """
+    antecedents = sorted(set(ANTECEDENTS))
+    skipped = ["", *sorted(set(SKIPPED) - set(ANTECEDENTS))]
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("_words", F.filter(F.split(low, _SEPARATORS), lambda w: ~w.isin(*skipped)))
+    df = df.withColumn("_content", F.filter("_words", lambda w: ~w.isin(*antecedents)))
+    df = df.withColumn("_at", F.filter(F.transform("_words", lambda w, i: F.when(w.isin(*antecedents), i)), lambda i: i.isNotNull()))
+    words, content = F.col("_words"), F.col("_content")
+    link = lambda first: [F.get(content, first + c) for c in range(chain)]
+    spots = F.transform("_at", lambda i, k: F.when(i - k < F.size(content), F.hash(F.get(words, i), *link(i - k))))
+    start = F.when(F.size(content) > 0, F.array(F.hash(F.lit(_START), *link(F.lit(0))))).when(low == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(low)))
+    df = df.withColumn(out, F.sort_array(F.array_distinct(F.array_compact(F.concat(start, spots)))))
+    return df.drop("_words", "_content", "_at")
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -90,8 +70,8 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 
 def spot_matches(docs: DataFrame, least: float = 0.8, chain: int = CHAIN) -> DataFrame:
-    """Pairs (a, b, similarity) of fingerprints with similarity >= ``least``, a < b; membership is ``fingerprint(signatures(text))``."""
-    sets = docs.select(signatures(F.col("text"), chain).alias("sigs")).where("size(sigs) > 0")
+    """Pairs (a, b, similarity) of fingerprints with similarity >= ``least``, a < b; membership is the fingerprint of ``with_signatures``."""
+    sets = with_signatures(docs.select("text"), "text", "sigs", chain).where("size(sigs) > 0")
     sets = stored(sets.select(fingerprint(F.col("sigs")).alias("fp"), "sigs").dropDuplicates(["fp"]), "spot-sets")
     each = sets.select("fp", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
     rare = each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
@@ -134,12 +114,12 @@ def op9_spotsigs(spark, sf_dir):
     # Each text goes to its predecessor as far as the edit needs it, and as a set.
     back = follows.select(F.col("next_id").alias("_id"), F.col("next_hash").alias("_hash"), F.col("doc_id").alias("to_id"), F.col("hash").alias("to_hash"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
     sent = docs.join(back, docs["doc_id"].eqNullSafe(back["_id"]) & (docs["hash"] == back["_hash"]))
-    sent = sent.select("to_id", "to_hash", F.expr("left(text, take)").alias("head"), signatures(F.col("text")).alias("next_sigs"))
+    sent = with_signatures(sent.select("to_id", "to_hash", "text", F.expr("left(text, take)").alias("head")), "text", "next_sigs").drop("text")
     sent = sent.groupBy("to_id", "to_hash").agg(F.first("head").alias("head"), F.first("next_sigs").alias("next_sigs"))
     both = docs.join(sent, docs["doc_id"].eqNullSafe(sent["to_id"]) & (docs["hash"] == sent["to_hash"]))
     both = both.withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), "head"))
-    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("sigs"), signatures(F.col("edited")).alias("edited_sigs"), "next_sigs")
+    both = with_signatures(with_signatures(both, "text", "sigs"), "edited", "edited_sigs").withColumn("edited_sha256", F.sha2("edited", 256))
     return both.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
