@@ -363,7 +363,7 @@ def family_pool(s, d):
     return planner.family_representatives(_scores(s, d)).select("block_id", "plan", "codec", "rank")
 
 
-@_query("quality_envelope", f"WITH {COSTS}, m AS (SELECT *, min(estimate) OVER (PARTITION BY block_id) AS best FROM sc) SELECT block_id, plan, estimate FROM m WHERE estimate <= best + (best * 15000 + 999999) // 1000000")
+@_query("quality_envelope", f"WITH {COSTS}, mb AS (SELECT *, min(estimate) OVER (PARTITION BY block_id) AS best FROM sc) SELECT block_id, plan, estimate FROM mb WHERE estimate <= best + (best * 15000 + 999999) // 1000000")
 def quality_envelope(s, d):
     return planner.enveloped(_scores(s, d)).select("block_id", "plan", "estimate")
 

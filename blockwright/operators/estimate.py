@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockwright.functions.scalars import bit_width, gamma_bits, packed_bytes, zigzag
@@ -75,24 +75,20 @@ def huffman_bound(rows: DataFrame) -> DataFrame:
     return h.groupBy("block_id").agg(F.sum("n").alias("size"), F.ceil(F.round(F.sum(-F.col("n") * F.log2(F.col("n") / F.col("all"))), 4) / 8).cast("long").alias("least_bytes"))
 
 
-def alp_exception(v: Column, e: Column, f: Column) -> Column:
-    """Whether decimal scaling by 10^e and back by 10^-f, with reciprocals as factors, does not give the value back."""
-    ten = lambda x: F.element_at(F.array(*[F.lit(float(10**k)) for k in range(19)]), x.cast("int") + 1)
-    tenth = lambda x: F.element_at(F.array(*[F.lit(1.0 / 10**k if k else 1.0) for k in range(19)]), x.cast("int") + 1)
-    scaled = F.round(v * ten(e) * tenth(f))
-    return ~F.coalesce(scaled * ten(f) * tenth(e) == v, F.lit(False)) | (F.abs(scaled) >= 9.0e15)
-
-
 def alp_parameters(rows: DataFrame, most: int = 18) -> DataFrame:
     """Per block the exponent pair (e, f), f <= e, of fewest exceptions, the larger e and then f on a tie.
 
-    Pairs are a fixed dimension of 190 rows; each value meets each pair as an array element, not as a joined row.
+    A value is an exception if decimal scaling by 10^e and 10^-f, and back with reciprocals as factors, does not give it
+    back. The 190 pairs are a fixed array; what each row unfolds to is counted before anything is shuffled.
     """
-    pairs = [(e, f) for e in range(most + 1) for f in range(e + 1)]
-    # Counts of all pairs are taken in one pass, as one aggregate a pair.
-    counts = rows.groupBy("block_id").agg(F.count("*").alias("n"), *[F.count_if(alp_exception(F.col("v"), F.lit(e), F.lit(f))).alias(f"x{e}_{f}") for e, f in pairs])
-    best = F.array_min(F.array(*[F.struct(F.col(f"x{e}_{f}").alias("exceptions"), F.lit(-e).alias("e"), F.lit(-f).alias("f")) for e, f in pairs]))
-    return counts.select("block_id", "n", best.alias("b")).select("block_id", "n", (-F.col("b.e")).alias("e"), (-F.col("b.f")).alias("f"), "b.exceptions")
+    f64 = lambda x: F.lit(float(x))
+    pairs = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(f).alias("f"), f64(10**e).alias("up"), f64(1.0 / 10**f).alias("down"), f64(10**f).alias("back"), f64(1.0 / 10**e).alias("unit")) for e in range(most + 1) for f in range(e + 1)])
+    x = rows.select("block_id", "v", F.explode(pairs).alias("p")).select("block_id", "v", "p.*")
+    scaled = F.round(F.col("v") * F.col("up") * F.col("down"))
+    lost = ~F.coalesce(scaled * F.col("back") * F.col("unit") == F.col("v"), F.lit(False)) | (F.abs(scaled) >= 9.0e15)
+    counts = x.groupBy("block_id", "e", "f").agg(F.count("*").alias("n"), F.count_if(lost).alias("exceptions"))
+    best = counts.groupBy("block_id").agg(F.min(F.struct("exceptions", (-F.col("e")).alias("e"), (-F.col("f")).alias("f"), "n")).alias("b"))
+    return best.select("block_id", "b.n", (-F.col("b.e")).alias("e"), (-F.col("b.f")).alias("f"), "b.exceptions")
 
 
 def columnar_gain(table: DataFrame, key: str, columns: list[str], size: int) -> DataFrame:

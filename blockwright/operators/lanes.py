@@ -72,9 +72,10 @@ def runs(rows: DataFrame) -> DataFrame:
 
 def byte_lane(table: DataFrame, key: str, text: str) -> DataFrame:
     """A lane of the UTF-8 bytes of each row's text: the row is the block."""
-    hexed = F.hex(F.encode(F.col(text), "UTF-8"))
-    some = table.where(F.octet_length(text) > 0).select(F.col(key).alias("block_id"), hexed.alias("h"), F.posexplode(F.sequence(F.lit(1), F.octet_length(text).cast("int"))).alias("pos", "i"))
-    return some.select("block_id", F.col("pos").cast("long").alias("pos"), F.conv(F.expr("substring(h, 2 * i - 1, 2)"), 16, 10).cast("long").alias("v"))
+    # As Latin-1 each byte is one character, so the bytes are split and read without searching for their places.
+    letters = F.split(F.decode(F.encode(F.col(text), "UTF-8"), "ISO-8859-1"), "")
+    some = table.where(F.octet_length(text) > 0).select(F.col(key).alias("block_id"), F.posexplode(letters).alias("pos", "c"))
+    return some.select("block_id", F.col("pos").cast("long").alias("pos"), F.ascii("c").cast("long").alias("v"))
 
 
 def byte_delta(rows: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def segments(classes: DataFrame) -> DataFrame:
 def even_split(parts: DataFrame, most: int) -> DataFrame:
     """Pieces of at most ``most`` values, as even as can be: adds piece, piece_from, piece_to."""
     n = F.ceil(F.col("n") / most)
-    p = parts.withColumn("pieces", n).withColumn("piece", F.explode(F.sequence(F.lit(0), (F.col("pieces") - 1).cast("int"))).cast("long"))
+    p = parts.withColumn("pieces", n).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces").cast("long") - 1)))
     return p.withColumn("piece_from", F.floor(F.col("n") * F.col("piece") / F.col("pieces"))).withColumn("piece_to", F.floor(F.col("n") * (F.col("piece") + 1) / F.col("pieces")))
 
 
