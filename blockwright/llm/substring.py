@@ -127,6 +127,8 @@ def _merged(width: int):
 
 def repeated_bits(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> bytes:
     """One bit a cell of the merged sketch: whether it counts two or more. Its size is fixed by DEPTH and ``width``."""
+    if DEPTH * width % (8 * SEGMENTS) or width & (width - 1):
+        raise ValueError(f"width must be a power of two, at least {8 * SEGMENTS}")
     partial = docs.select("text").mapInArrow(_partial_sketch(length, width), "segment int, cells binary, counts binary")
     merged = partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merged(width), "segment int, bits binary")
     per = DEPTH * width // SEGMENTS // 8
