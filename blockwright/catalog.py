@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -550,3 +553,85 @@ SELECT label, round(avg(abs(e)), 6) AS mae, round(avg(share), 6) AS mape, round(
 def estimator_error(s, d):
     bound = estimate.huffman_bound(_bytes(s, d)).select("block_id", F.greatest("least_bytes", F.lit(1)).alias("actual"))
     return telemetry.estimator_error(_scores(s, d).where("entropy = 'huffman'").join(bound, "block_id"), "label", "estimate", "actual")
+
+
+def _codec_query(name, lane, codec, size, sql=None):
+    from blockwright.sources import blocks
+
+    _query(name, sql)(lambda s, d: blocks.lane_payloads(lane(s, d), codec, size))
+
+
+_codec_query("codec_num1", _keys, "num1", 4096, f"WITH {KEYS}, {MODES} SELECT block_id, n, bytes, true AS ok FROM b QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY bytes, mode) = 1")
+_codec_query("codec_num1_for", _customers, "num1_1", 2048, f"WITH {CUSTOMERS}, {MODES} SELECT block_id, n, bytes, true AS ok FROM b WHERE mode = 1")
+_codec_query("codec_num1_dod", _times, "num1_3", 2048, f"WITH {TIMES}, {MODES} SELECT block_id, n, bytes, true AS ok FROM b WHERE mode = 3")
+_codec_query("codec_patched", _customers, "patched", 2048, f"SELECT block_id, n, bytes, true AS ok FROM ({ORACLE_SQL['patched_for_plan']})")
+_codec_query("codec_run_delta", _users, "run_delta", 2048, f"SELECT block_id, n, bytes, true AS ok FROM ({ORACLE_SQL['run_delta_size']})")
+_codec_query("codec_rle", _kinds, "rle", 2048, f"SELECT block_id, least(2048, (SELECT count(*) FROM events) - 2048 * block_id)::BIGINT AS n, bytes, true AS ok FROM ({ORACLE_SQL['rle_size']})")
+_codec_query("codec_gorilla", _values, "gorilla", 2048)
+_codec_query("codec_alp", _values, "alp", 2048)
+_codec_query("codec_lz", _kinds, "lz_balanced+huffman", 2048)
+_codec_query("codec_delta_rans", _kinds, "delta+raw+rans", 2048)
+_codec_query("codec_rans4x", _kinds, "raw+rans4x", 2048)
+
+
+def _stored_pages(s, d):
+    from blockwright.sources import blocks
+
+    files = _table(s, d, "pages").select(F.col("page_id").cast("string").alias("file_id"), F.encode("html", "UTF-8").alias("data"))
+    return blocks.encode(blocks.chunk(files, 4096).withColumn("label", F.lit("lz_fast+huffman")))
+
+
+@_query("container_verify", "SELECT page_id::VARCHAR AS file_id, ceil(octet_length(encode(html)) / 4096.0)::BIGINT AS blocks, 0::BIGINT AS damaged, true AS complete, octet_length(encode(html))::BIGINT AS bytes FROM pages WHERE octet_length(encode(html)) > 0")
+def container_verify(s, d):
+    from blockwright.sources import blocks
+
+    return blocks.verify(_stored_pages(s, d))
+
+
+@_query("container_range", "SELECT '3' AS file_id, (i - 1)::BIGINT AS block_id, 0::BIGINT AS first FROM range(1, 1) t(i) UNION ALL SELECT page_id::VARCHAR, 0, 100 FROM pages WHERE page_id = 3")
+def container_range(s, d):
+    from blockwright.sources import blocks
+
+    page = _table(s, d, "pages").where("page_id = 3").select(F.col("page_id").cast("string").alias("file_id"), F.encode("html", "UTF-8").alias("data"))
+    stored = blocks.encode(blocks.chunk(page, 4096).withColumn("label", F.lit("lz_fast")))
+    return blocks.read_range(stored, "3", 100, 300).select("file_id", "block_id", F.col("offset").alias("first"))
+
+
+@_query("tier_plan", f"""WITH {COSTS}, tiers(tier, profile, block_size) AS (VALUES ('hot', 'fast', 65536), ('warm', 'balanced', 262144), ('cold', 'dense', 1048576)),
+ts AS (SELECT block_id, tier, plan, label, (estimate * 1000000 // greatest(size, 1)) * CASE tier WHEN 'hot' THEN 20 WHEN 'warm' THEN 60 ELSE 86 END + encode * CASE tier WHEN 'hot' THEN 34000 * 55 WHEN 'warm' THEN 3500 * 18 ELSE 550 * 5 END
+ + decode * CASE tier WHEN 'hot' THEN 6000 * 20 WHEN 'warm' THEN 1300 * 17 ELSE 300 * 5 END + (memory * 1000 // greatest(size, 1)) * CASE tier WHEN 'cold' THEN 4 ELSE 5 END AS score FROM sc, tiers)
+SELECT tier, label, count(*) AS blocks FROM (SELECT * FROM ts QUALIFY row_number() OVER (PARTITION BY block_id, tier ORDER BY score, plan) = 1) GROUP BY ALL""")
+def tier_plan(s, d):
+    estimates = planner.estimated(profile.block_profile(_bytes(s, d)), planner.candidates(s))
+    parts = [planner.selected(planner.scored(estimates, p)).select(F.lit(t).alias("tier"), "label") for t, p in (("hot", "fast"), ("warm", "balanced"), ("cold", "dense"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("tier", "label").agg(F.count("*").alias("blocks"))
+
+
+def _scratch(s) -> str:
+    """A new folder below the shared one that the session names; a temporary one where none is named."""
+    named = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="blockwright-")
+
+
+@_query("stream_windows", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_windows(s, d):
+    from blockwright.streaming import encoder
+
+    path = f"{d}/events.parquet"
+    arriving = s.readStream.schema(s.read.parquet(path).schema).parquet(path)
+    name = f"windows_{uuid.uuid4().hex}"
+    counted = encoder.windowed_counts(arriving).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+    counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{_scratch(s)}/log").trigger(availableNow=True).start().awaitTermination()
+    return s.table(name)
+
+
+@_query("stream_blocks", "SELECT doc_id::VARCHAR AS file_id, ceil(octet_length(encode(text)) / 2048.0)::BIGINT AS blocks, 0::BIGINT AS damaged, true AS complete, octet_length(encode(text))::BIGINT AS bytes FROM documents WHERE octet_length(encode(text)) > 0")
+def stream_blocks(s, d):
+    """Documents encoded as a stream of files, verified as a table."""
+    from blockwright.sources import blocks
+    from blockwright.streaming import encoder
+
+    base = _scratch(s)
+    _table(s, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.encode("text", "UTF-8").alias("data")).write.parquet(f"{base}/in")
+    encoder.encode_stream(s, f"{base}/in", "file_id string, data binary", f"{base}/out", f"{base}/log", label="rle", block_size=2048)
+    return blocks.verify(s.read.parquet(f"{base}/out").drop("epoch"))
