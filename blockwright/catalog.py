@@ -617,11 +617,13 @@ def _scratch(s) -> str:
 def stream_windows(s, d):
     from blockwright.streaming import encoder
 
-    path = f"{d}/events.parquet"
-    arriving = s.readStream.schema(s.read.parquet(path).schema).parquet(path)
+    base = _scratch(s)
+    events = _table(s, d, "events").select("ts", "event_type", "value")
+    events.write.parquet(f"{base}/in")  # a stream reads folders only
+    arriving = s.readStream.schema(events.schema).parquet(f"{base}/in")
     name = f"windows_{uuid.uuid4().hex}"
     counted = encoder.windowed_counts(arriving).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
-    counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{_scratch(s)}/log").trigger(availableNow=True).start().awaitTermination()
+    counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
     return s.table(name)
 
 
