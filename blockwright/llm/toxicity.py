@@ -2,8 +2,9 @@
 
 Folding lowers case, drops diacritics, maps look-alike letters of other scripts and digits or signs that stand for
 letters, and turns everything else into spaces. The lexicon holds whole words and word beginnings; their weights are
-log odds learned from labelled rows, and the score is a logistic function, fitted on the same rows, of the weight found
-per word. Of the entries that match at one word the heaviest counts; words inside an exception phrase do not.
+squares of lower bounds of log odds learned from labelled rows, so that doubtful entries hardly add up. Of the entries
+that match at one word the heaviest counts, a word that comes again counts less each time, and words inside an exception phrase do not count. The score is a logistic
+function, fitted on the same rows, of the weight found over the root of the text's length.
 
 Defined cases: null and empty texts score as texts in which nothing is found; repeated rows score alike; labels that
 are null or of unknown documents teach nothing; without any usable label the built-in words and slope serve; other
@@ -36,8 +37,8 @@ SEED_WORDS = "idiot moron stupid loser scum worthless pathetic disgusting imbeci
 SEED_WEIGHT = 4.0
 #: Phrases in which such words offend nobody.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "take out the trash", "clown fish", "circus clown", "pond scum", "soap scum", "loser bracket", "stupid mistake on my part")
-#: Log odds that an entry needs, and toxic documents that hold it.
-LEAST_ODDS, LEAST_DOCS = 2.0, 4
+#: Log odds that an entry needs, less this many standard errors, and toxic documents that hold it.
+LEAST_ODDS, ERRORS, LEAST_DOCS = 2.0, 1.0, 4
 #: Words added to a text's length, so that one hit in a very short text is no certainty.
 PAD_WORDS = 10
 DEFAULT_FIT = (2.5, -4.0)
@@ -112,21 +113,26 @@ def _automaton(lexicon: dict[str, float]) -> ahocorasick.Automaton:
 def found_weight(text: str, automaton) -> tuple[float, int]:
     """The weight of the words that count, and how many words the text has."""
     t = folded(text)
-    at: dict[int, float] = {}
+    at: dict[int, tuple[float, int]] = {}
     exempt: list[tuple[int, int]] = []
     for end, (n, w) in automaton.iter(t):
         start = end - n + 1
         if w < 0:
             exempt.append((start, end))
-        elif w > at.get(start, 0.0):
-            at[start] = w
+        elif start not in at or w > at[start][0]:
+            at[start] = (w, start)
     if exempt:
-        at = {s: w for s, w in at.items() if not any(a <= s < b for a, b in exempt)}
-    return sum(at.values()), len(t.split())
+        at = {s: m for s, m in at.items() if not any(a <= s < b for a, b in exempt)}
+    times = Counter((w, t[a : t.find(" ", a + 1)]) for w, a in at.values())
+    return sum(w * (1 + math.log(n)) for (w, _), n in sorted(times.items())), len(t.split())
 
 
 def density(weight: float, words: int) -> float:
-    return math.log1p(100 * weight / (words + PAD_WORDS))
+    return math.log1p(4 * weight / math.sqrt(words + PAD_WORDS))
+
+
+def _weight(odds: float) -> float:
+    return max(0.0, odds) ** 2 / 4
 
 
 def _fit(bins: list[tuple[int, int, int]]) -> tuple[float, float]:
@@ -161,11 +167,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     if not whole or not whole["toxic"] or not whole["clean"]:
         return {"lexicon": lexicon, "fit": DEFAULT_FIT}
     odds = F.log((F.col("toxic") + 0.5) / (whole["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (whole["clean"] + 1))
+    odds = odds - ERRORS * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     seen = counted.where("entry <> '#'").withColumn("odds", odds)
     for r in seen.where(F.col("entry").isin(list(lexicon))).collect():
-        lexicon[r["entry"]] = max(0.0, r["odds"])
+        lexicon[r["entry"]] = _weight(r["odds"])
     best = seen.where((F.col("odds") >= LEAST_ODDS) & (F.col("toxic") >= LEAST_DOCS)).orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "entry").limit(LEXICON_SIZE)
-    lexicon |= {r["entry"]: r["odds"] for r in best.collect()}
+    lexicon |= {r["entry"]: _weight(r["odds"]) for r in best.collect()}
     lexicon = {e: w for e, w in lexicon.items() if w > 0}
 
     def binned(batches):
