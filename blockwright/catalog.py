@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blockwright.functions import scalars as S
 from blockwright.operators import dictionary, estimate, lanes, profile, ranges, segments, telemetry
-from blockwright.plans import planner
+from blockwright.plans import planner, policies
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -637,3 +637,109 @@ def stream_blocks(s, d):
     _table(s, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.encode("text", "UTF-8").alias("data")).write.parquet(f"{base}/in")
     encoder.encode_stream(s, f"{base}/in", "file_id string, data binary", f"{base}/out", f"{base}/log", label="rle", block_size=2048)
     return blocks.verify(s.read.parquet(f"{base}/out").drop("epoch"))
+
+
+def _profiles(s, d):
+    return profile.block_profile(_bytes(s, d))
+
+
+@_query("early_raw_and_fast_path", f"""WITH {PROFILE} SELECT block_id, h0 > 7.985 AND greatest(run_score, delta_score, repetition) < 0.002 AS early_raw,
+CASE WHEN incompressibility > 0.985 AND h0 > 7.985 AND repetition < 0.003 THEN 'raw' WHEN zero_ratio > 0.985 OR run_score > 0.92 THEN 'rle' WHEN repetition > 0.55 THEN 'lz_fast+huffman' WHEN delta_score > 0.75 AND h0 > 4.0 THEN 'delta+raw+huffman' END AS fast_path FROM prof""")
+def early_raw_and_fast_path(s, d):
+    p = _profiles(s, d)
+    return p.select("block_id", policies.early_raw(p).alias("early_raw"), policies.fast_path("fast").alias("fast_path"))
+
+
+@_query("candidate_eligibility", f"""WITH {COSTS}, rt(route) AS (VALUES ('generic'), ('numeric-general'), ('numeric-fast'))
+SELECT route, label, count(*) AS blocks FROM sc, rt WHERE CASE route WHEN 'numeric-fast' THEN codec = 'numeric' WHEN 'numeric-general' THEN codec IN ('numeric', 'raw', 'rle', 'series', 'lz') ELSE codec <> 'numeric' END GROUP BY ALL""")
+def candidate_eligibility(s, d):
+    x = _scores(s, d).withColumn("route", F.explode(F.array(*map(F.lit, ("generic", "numeric-general", "numeric-fast")))))
+    return x.where(policies.eligible(F.col("route"))).groupBy("route", "label").agg(F.count("*").alias("blocks"))
+
+
+@_query("weak_rans_penalty", f"""WITH {COSTS} SELECT a.block_id, a.plan, CASE WHEN a.entropy IN ('rans', 'rans4x') AND b.estimate IS NOT NULL AND b.estimate - a.estimate < 0.02::DOUBLE * b.estimate THEN 1 ELSE 0 END AS penalty
+FROM sc a LEFT JOIN sc b ON b.entropy = 'huffman' AND a.block_id = b.block_id AND a.transform = b.transform AND a.codec = b.codec AND coalesce(a.lz, '') = coalesce(b.lz, '')""")
+def weak_rans_penalty(s, d):
+    return policies.weak_rans(_scores(s, d)).select("block_id", "plan", "penalty")
+
+
+@_query("dominance_envelope", f"WITH {COSTS}, g AS (SELECT block_id, plan, estimate - min(estimate) OVER (PARTITION BY block_id) AS loss, min(estimate) OVER (PARTITION BY block_id) AS best FROM sc) SELECT block_id, plan, loss FROM g WHERE loss <= 2048 OR loss * 1000000 <= best * 10000")
+def dominance_envelope(s, d):
+    return policies.dominant(_scores(s, d)).select("block_id", "plan", "loss")
+
+
+@_query("preferred_plan", f"""WITH {COSTS}, g AS (SELECT *, CASE codec WHEN 'raw' THEN 0 WHEN 'rle' THEN 1 ELSE 2 END AS tier, min(estimate) OVER (PARTITION BY block_id) AS best FROM sc)
+SELECT block_id, plan, tier, estimate FROM g WHERE estimate <= best + (best * 15000 + 999999) // 1000000 QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY tier, estimate, plan) = 1""")
+def preferred_plan(s, d):
+    return policies.preferred(_scores(s, d), F.when(F.col("codec") == "raw", 0).when(F.col("codec") == "rle", 1).otherwise(2))
+
+
+@_query("plan_regret", f"""WITH {COSTS}, {SELECTED}, bs AS (SELECT block_id, min(estimate) AS best FROM sc GROUP BY block_id), lo AS (SELECT estimate - best AS loss FROM sel JOIN bs USING (block_id))
+SELECT count(*) AS blocks, round(avg((loss = 0)::INT), 6) AS recall, round(avg(loss), 6) AS mean, quantile_disc(loss, 0.95)::BIGINT AS p95, quantile_disc(loss, 0.99)::BIGINT AS p99 FROM lo""")
+def plan_regret(s, d):
+    scores = _scores(s, d)
+    return policies.regret(scores, planner.selected(scores))
+
+
+@_query("second_stage_k", f"""WITH {COSTS}, nx AS (SELECT block_id, plan, score, lead(score) OVER w AS next, row_number() OVER w AS rank FROM sc WINDOW w AS (PARTITION BY block_id ORDER BY score, plan))
+SELECT block_id, plan, score::BIGINT AS score, next::BIGINT AS next, CASE WHEN coalesce(next - score < 0.03::DOUBLE * score, false) THEN 3 ELSE 2 END AS k FROM nx WHERE rank = 1""")
+def second_stage_k(s, d):
+    return policies.second_stage(_scores(s, d))
+
+
+@_query("sample_ranges", f"""WITH {PROFILE}, c1 AS (SELECT block_id, size, least(3, greatest(size // 1024, 1)) AS count FROM prof), c2 AS (SELECT *, unnest(range(0, count)) AS sample FROM c1),
+c3 AS (SELECT block_id, sample, size, CASE WHEN count = 1 THEN 0 ELSE greatest(size - 1024, 0) * sample // (count - 1) END AS s FROM c2) SELECT block_id, sample, s::BIGINT AS "from", least(s + 1024, size)::BIGINT AS "to" FROM c3""")
+def sample_ranges(s, d):
+    return policies.sample_ranges(_profiles(s, d).select("block_id", "size"), 3, 1024)
+
+
+@_query("verification_budget", f"""WITH {_prefilter_sql(TIMES)} SELECT block_id, CASE WHEN confidence >= 0.9 THEN 2 WHEN confidence >= 0.75 THEN 3 ELSE 4 END AS k, CASE WHEN confidence >= 0.9 THEN 20 WHEN confidence >= 0.75 THEN 25 ELSE 30 END + 5 AS lz_weight,
+CASE WHEN confidence >= 0.9 THEN 25 WHEN confidence >= 0.75 THEN 40 ELSE 55 END AS raw_weight, CASE WHEN 1 - confidence < 0.05 THEN 'high' WHEN 1 - confidence <= 0.15 THEN 'medium' ELSE 'low' END AS class FROM pf""")
+def verification_budget(s, d):
+    c = F.col("confidence")
+    x = profile.numeric_prefilter(_times(s, d))
+    return x.select("block_id", policies.adaptive_k(c).alias("k"), policies.blend_weight(F.lit("lz"), c, 2, "balanced").alias("lz_weight"), policies.blend_weight(F.lit("raw"), c, 1, "balanced").alias("raw_weight"), policies.confidence_class(1 - c).alias("class"))
+
+
+@_query("numeric_margin", f"""WITH nb AS ({ORACLE_SQL["num1_every_mode"]}), b2 AS (SELECT block_id, min(bytes) AS numeric, max(n) * 8 AS raw FROM nb GROUP BY block_id), pt AS (SELECT block_id, bytes AS patched FROM ({ORACLE_SQL["patched_for_plan"]}))
+SELECT block_id, numeric, patched, raw - patched >= greatest(32, raw // 100) AS pays, CASE WHEN numeric / patched <= 0.8 THEN 'none' WHEN numeric / patched <= 0.97 THEN 'one-stage' ELSE 'full' END AS budget,
+CASE WHEN patched + 32 >= raw THEN 'raw' ELSE 'patched' END AS label, patched <= 0.9::DOUBLE * numeric AND (numeric - patched) * 32 >= raw AS replaces FROM b2 JOIN pt USING (block_id)""")
+def numeric_margin(s, d):
+    best = estimate.every_mode(_customers(s, d)).groupBy("block_id").agg(F.min("bytes").alias("numeric"), (F.max("n") * 8).alias("raw"))
+    x = best.join(estimate.patched(_customers(s, d)).select("block_id", F.col("bytes").alias("patched")), "block_id")
+    numeric, other, raw = F.col("numeric"), F.col("patched"), F.col("raw")
+    return x.select("block_id", "numeric", "patched", policies.beats_by_margin(raw, other).alias("pays"), policies.hybrid_budget(numeric, other).alias("budget"), policies.raw_fallback(F.lit("patched"), other, raw).alias("label"), policies.series_beats_generic(other, numeric, raw).alias("replaces"))
+
+
+@_query("symbol_model", f"WITH {KINDS}, c AS (SELECT block_id, v AS value, count(*) AS n FROM l GROUP BY ALL) SELECT block_id, value, greatest(n * 4096 // sum(n) OVER (PARTITION BY block_id), 1)::BIGINT AS base, (n * 4096 % sum(n) OVER (PARTITION BY block_id))::BIGINT AS rest FROM c")
+def symbol_model(s, d):
+    return policies.symbol_model(profile.histogram(_kinds(s, d)))
+
+
+@_query("tier_metrics", f"""WITH {COSTS}, {SELECTED} SELECT CASE WHEN block_id % 3 = 0 THEN 'hot' WHEN block_id % 3 = 1 THEN 'warm' ELSE 'cold' END AS tier, count(*) AS blocks, round(sum(estimate) / sum(size), 6) AS stored, round(1 - sum(estimate) / sum(size), 6) AS savings, round(sum(size) / sum(estimate), 6) AS ratio FROM sel GROUP BY ALL""")
+def tier_metrics(s, d):
+    tier = F.when(F.col("block_id") % 3 == 0, "hot").when(F.col("block_id") % 3 == 1, "warm").otherwise("cold")
+    x = planner.selected(_scores(s, d)).groupBy(tier.alias("tier")).agg(F.count("*").alias("blocks"), F.sum("estimate").alias("e"), F.sum("size").alias("z"))
+    return x.select("tier", "blocks", F.round(F.col("e") / F.col("z"), 6).alias("stored"), F.round(1 - F.col("e") / F.col("z"), 6).alias("savings"), F.round(S.ratio(F.col("z"), F.col("e")), 6).alias("ratio"))
+
+
+@_query("plan_json", f"WITH {COSTS}, {SELECTED} SELECT block_id, '{{\"plan\":' || plan || ',\"label\":\"' || label || '\",\"estimate\":' || estimate || '}}' AS json FROM sel")
+def plan_json(s, d):
+    return planner.selected(_scores(s, d)).select("block_id", F.to_json(F.struct("plan", "label", "estimate")).alias("json"))
+
+
+@_query("aligned_block_size", "SELECT s_suppkey, (greatest(262144 // (s_suppkey % 300 + 1), 1) * (s_suppkey % 300 + 1))::BIGINT AS aligned FROM supplier")
+def aligned_block_size(s, d):
+    return _table(s, d, "supplier").select("s_suppkey", S.aligned_block_size(F.lit(262144), F.col("s_suppkey") % 300 + 1).alias("aligned"))
+
+
+@_query("records_roundtrip", "SELECT event_id // 1000 AS key, count(*) AS n, count(*) AS same FROM events GROUP BY ALL")
+def records_roundtrip(s, d):
+    from blockwright.sources import records
+
+    schema = records.RecordSchema("event_id:u32,user_id:i64,value:f64")
+    rows = _table(s, d, "events").select(F.floor(F.col("event_id") / 1000).alias("key"), "event_id", "user_id", "value")
+    data = records.to_records(rows, schema, "key", ["event_id"])
+    back = records.from_records(records.join_columns(records.split_columns(data, schema), schema), schema)
+    same = back.select("key", "event_id", F.col("user_id").alias("u"), F.col("value").alias("x")).join(rows, ["key", "event_id"])
+    return same.groupBy("key").agg(F.count("*").alias("n"), F.count_if((F.col("u") == F.col("user_id")) & (F.col("x") == F.col("value"))).alias("same"))
