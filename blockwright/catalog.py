@@ -58,6 +58,10 @@ def _bytes(s, d):
     return lanes.byte_lane(_table(s, d, "documents"), "doc_id", "text")
 
 
+def _byte_blocks(s, d):
+    return lanes.byte_blocks(_table(s, d, "documents"), "doc_id", text="text")
+
+
 def _lane_sql(table: str, key: str, value: str, size: int) -> str:
     return f"l AS (SELECT {key} // {size} AS block_id, {key} % {size} AS pos, {value} AS v FROM {table})"
 
@@ -180,7 +184,7 @@ j AS (SELECT block_id, prev, v, count(*) AS n FROM p WHERE prev IS NOT NULL AND
 b AS (SELECT block_id, -(n / sum(n) OVER (PARTITION BY block_id)) * log2(n / sum(n) OVER (PARTITION BY block_id, prev)) AS bits FROM j)
 SELECT block_id, round(sum(bits), 6) AS h1 FROM b GROUP BY block_id""")
 def entropy_h1(s, d):
-    return profile.sampled_entropy_h1(_bytes(s, d))
+    return profile.sampled_entropy_h1(_byte_blocks(s, d))
 
 
 @_query("run_stats", f"WITH {KINDS}, {RUNS} SELECT block_id, count(*) FILTER (length >= 4) AS runs, coalesce(sum(length) FILTER (length >= 4), 0)::BIGINT AS run_bytes, max(length) AS longest FROM r GROUP BY block_id")
@@ -201,7 +205,7 @@ rep AS (SELECT block_id, count(*) AS probes, count(*) FILTER (hit) AS hits FROM
 
 @_query("repetition_hits", f"WITH {BYTES}, {REPETITION} SELECT block_id, probes, hits FROM rep")
 def repetition_hits(s, d):
-    return profile.repetition_hits(_bytes(s, d))
+    return profile.repetition_hits(_byte_blocks(s, d))
 
 
 PROFILE = f"""{BYTES}, c AS (SELECT block_id, v AS value, count(*) AS n FROM l GROUP BY ALL),
@@ -219,7 +223,7 @@ prof AS (SELECT *, round(least(greatest(0.72::DOUBLE * h0 / 8 + 0.28::DOUBLE * (
 
 @_query("block_profile", f"WITH {PROFILE} SELECT * FROM prof")
 def block_profile(s, d):
-    return profile.block_profile(_bytes(s, d))
+    return profile.block_profile(_byte_blocks(s, d))
 
 
 def _prefilter_sql(lane: str) -> str:
@@ -348,7 +352,7 @@ sc AS (SELECT *, (estimate * 1000000 // greatest(size, 1)) * 60 + encode * 3500
 
 
 def _scores(s, d):
-    return planner.scored(planner.estimated(profile.block_profile(_bytes(s, d)), planner.candidates(s)))
+    return planner.scored(planner.estimated(profile.block_profile(_byte_blocks(s, d)), planner.candidates(s)))
 
 
 @_query("candidate_costs", f"WITH {COSTS} SELECT block_id, plan, label, estimate, encode, decode, memory, score::BIGINT AS score FROM sc")
@@ -396,7 +400,7 @@ def explain_plans(s, d):
 
 @_query("data_class", f"WITH {PROFILE} SELECT block_id, CASE WHEN zero_ratio >= 0.985 OR run_score >= 0.92 THEN 'zero-heavy' WHEN incompressibility >= 0.96 AND repetition < 0.01 AND run_score < 0.01 THEN 'incompressible' WHEN delta_score >= 0.08 THEN 'numeric' ELSE 'structured' END AS data_class FROM prof")
 def data_class(s, d):
-    return planner.data_class(profile.block_profile(_bytes(s, d)))
+    return planner.data_class(profile.block_profile(_byte_blocks(s, d)))
 
 
 def _route_sql(lane: str) -> str:
@@ -602,7 +606,7 @@ ts AS (SELECT block_id, tier, plan, label, (estimate * 1000000 // greatest(size,
  + decode * CASE tier WHEN 'hot' THEN 6000 * 20 WHEN 'warm' THEN 1300 * 17 ELSE 300 * 5 END + (memory * 1000 // greatest(size, 1)) * CASE tier WHEN 'cold' THEN 4 ELSE 5 END AS score FROM sc, tiers)
 SELECT tier, label, count(*) AS blocks FROM (SELECT * FROM ts QUALIFY row_number() OVER (PARTITION BY block_id, tier ORDER BY score, plan) = 1) GROUP BY ALL""")
 def tier_plan(s, d):
-    estimates = planner.estimated(profile.block_profile(_bytes(s, d)), planner.candidates(s))
+    estimates = planner.estimated(profile.block_profile(_byte_blocks(s, d)), planner.candidates(s))
     parts = [planner.selected(planner.scored(estimates, p)).select(F.lit(t).alias("tier"), "label") for t, p in (("hot", "fast"), ("warm", "balanced"), ("cold", "dense"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("tier", "label").agg(F.count("*").alias("blocks"))
 
@@ -640,7 +644,7 @@ def stream_blocks(s, d):
 
 
 def _profiles(s, d):
-    return profile.block_profile(_bytes(s, d))
+    return profile.block_profile(_byte_blocks(s, d))
 
 
 @_query("early_raw_and_fast_path", f"""WITH {PROFILE} SELECT block_id, h0 > 7.985 AND greatest(run_score, delta_score, repetition) < 0.002 AS early_raw,

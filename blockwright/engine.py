@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.operators import dictionary, profile
+from blockwright.operators import dictionary, lanes, profile
 from blockwright.plans import planner
 from blockwright.sources import blocks
 from blockwright.sources.records import RecordSchema
@@ -50,9 +50,7 @@ class Engine:
     def plan(self, cut: DataFrame) -> DataFrame:
         """The layout of each block, by cost: block_id (file_id and number), label, estimate, score. Profiles are aggregations; nothing is encoded."""
         keyed = cut.select(F.struct("file_id", "block_id").alias("k"), "data")
-        latin = keyed.select("k", F.decode("data", "ISO-8859-1").alias("t"))
-        letters = latin.where(F.length("t") > 0).select(F.col("k").alias("block_id"), F.posexplode(F.split("t", "")).alias("pos", "c"))
-        rows = letters.select("block_id", F.col("pos").cast("long").alias("pos"), F.ascii("c").cast("long").alias("v"))
+        rows = lanes.byte_blocks(keyed, "k", data="data")
         costs = planner.scored(planner.estimated(profile.block_profile(rows), planner.candidates(cut.sparkSession)), self.config.profile)
         return planner.selected(costs)
 

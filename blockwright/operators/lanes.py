@@ -78,6 +78,16 @@ def byte_lane(table: DataFrame, key: str, text: str) -> DataFrame:
     return some.select("block_id", F.col("pos").cast("long").alias("pos"), F.ascii("c").cast("long").alias("v"))
 
 
+def byte_blocks(table: DataFrame, key: str, text: str | None = None, data: str | None = None) -> DataFrame:
+    """(block_id, latin, codes): each row's bytes as a Latin-1 string and as an array; rows without bytes are left out.
+
+    For statistics that need neighbours only: an array keeps the order, so nothing is sorted or shuffled.
+    """
+    raw = F.encode(F.col(text), "UTF-8") if text else F.col(data)
+    rows = table.where(F.octet_length(text or data) > 0).select(F.col(key).alias("block_id"), F.decode(raw, "ISO-8859-1").alias("latin"))
+    return rows.withColumn("codes", F.transform(F.split("latin", ""), lambda c: F.ascii(c)))
+
+
 def byte_delta(rows: DataFrame) -> DataFrame:
     """Adds d, the byte difference mod 256, the first byte against 0."""
     return rows.withColumn("d", F.pmod(F.col("v") - F.coalesce(F.lag("v").over(by_block()), F.lit(0)), F.lit(256)))

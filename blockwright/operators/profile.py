@@ -25,10 +25,11 @@ def entropy(counts: DataFrame, name: str) -> DataFrame:
     return counts.withColumn("p", p).groupBy("block_id").agg(F.round(F.sum(-F.col("p") * F.log2("p")), 6).alias(name))
 
 
-def sampled_entropy_h1(rows: DataFrame, stride: int = 8) -> DataFrame:
-    """Entropy of a byte given the one before it, over every ``stride``-th transition."""
-    pairs = rows.withColumn("prev", F.lag("v").over(by_block())).where(F.col("prev").isNotNull() & ((F.col("pos") - 1) % stride == 0))
-    joint = pairs.groupBy("block_id", "prev", "v").agg(F.count("*").alias("n"))
+def sampled_entropy_h1(blocks: DataFrame, stride: int = 8) -> DataFrame:
+    """Entropy of a byte given the one before it, over every ``stride``-th transition; ``blocks`` as of ``byte_blocks``."""
+    at = F.when(F.size("codes") > 1, F.sequence(F.lit(1), F.size("codes") - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    pairs = blocks.select("block_id", F.explode(F.transform(at, lambda i: F.get("codes", i - 1) * 256 + F.get("codes", i))).alias("pair"))
+    joint = pairs.groupBy("block_id", "pair").agg(F.count("*").alias("n")).withColumn("prev", F.floor(F.col("pair") / 256))
     given = F.sum("n").over(Window.partitionBy("block_id", "prev"))
     every = F.sum("n").over(Window.partitionBy("block_id"))
     bits = joint.withColumn("bits", -(F.col("n") / every) * F.log2(F.col("n") / given))
@@ -42,17 +43,16 @@ def run_stats(rows: DataFrame, least: int = 4) -> DataFrame:
     return r.groupBy("block_id").agg(F.count_if(long).alias("runs"), F.sum(F.when(long, F.col("length")).otherwise(0)).alias("run_bytes"), F.max("length").alias("longest"))
 
 
-def repetition_hits(rows: DataFrame) -> DataFrame:
+def repetition_hits(blocks: DataFrame) -> DataFrame:
     """Four-byte prints at every 16th place that equal the print last seen in their slot of 4096: probes and hits.
 
     The slot table only ever holds a slot's previous print, so a lag over (block, slot) is exact, collisions included.
+    ``blocks`` as of ``byte_blocks``; one row in 16 bytes is windowed.
     """
-    b = rows
-    for k in (1, 2, 3):
-        b = b.withColumn(f"b{k}", F.lead("v", k).over(by_block()))
-    prints = b.where((F.col("pos") % 16 == 0) & F.col("b3").isNotNull())
-    word = F.col("v") + F.col("b1") * 256 + F.col("b2") * 65536 + F.col("b3") * 16777216
-    prints = prints.select("block_id", "pos", word.alias("word"))
+    at = F.when(F.size("codes") >= 4, F.sequence(F.lit(0), F.size("codes") - 4, F.lit(16))).otherwise(F.array().cast("array<int>"))
+    code = lambda i: F.get("codes", i).cast("long")
+    word = F.transform(at, lambda i: code(i) + code(i + 1) * 256 + code(i + 2) * 65536 + code(i + 3) * 16777216)
+    prints = blocks.select("block_id", F.posexplode(word).alias("pos", "word"))
     # The multiplier is a fixed value; the product is split so that it stays inside 63 bits.
     low, high = F.col("word") % 65536, F.floor(F.col("word") / 65536)
     product = F.pmod(low * 2654435761 + F.pmod(high * 2654435761, F.lit(65536)) * 65536, F.lit(1 << 32))
@@ -61,12 +61,30 @@ def repetition_hits(rows: DataFrame) -> DataFrame:
     return prints.withColumn("hit", F.coalesce(same, F.lit(False))).groupBy("block_id").agg(F.count("*").alias("probes"), F.count_if("hit").alias("hits"))
 
 
-def block_profile(rows: DataFrame) -> DataFrame:
-    """The block profile over bytes: size, h0, zero and unique bytes, run and delta scores, incompressibility."""
-    counts = histogram(rows)
-    basic = counts.groupBy("block_id").agg(F.sum("n").alias("size"), F.count("*").alias("unique_bytes"), F.sum(F.when(F.col("value") == 0, F.col("n")).otherwise(0)).alias("zeros"))
-    deltas = histogram(lanes.byte_delta(rows), "d")
-    out = basic.join(entropy(counts, "h0"), "block_id").join(entropy(deltas, "h_delta"), "block_id").join(run_stats(rows), "block_id").join(repetition_hits(rows), "block_id", "left")
+def byte_runs(blocks: DataFrame) -> DataFrame:
+    """Runs of 4 equal bytes or more (how many, their bytes), and the longest run of any length, by pattern."""
+    runs = F.transform(F.regexp_extract_all("latin", F.lit(r"(?s)(.)\1{3,}+"), F.lit(0)), lambda r: F.length(r))
+    short = F.when(F.col("latin").rlike(r"(?s)(.)\1\1"), 3).when(F.col("latin").rlike(r"(?s)(.)\1"), 2).otherwise(1)
+    r = blocks.select("block_id", runs.alias("r"), short.alias("short"))
+    return r.select("block_id", F.size("r").cast("long").alias("runs"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x).alias("run_bytes"), F.coalesce(F.array_max("r"), "short").cast("long").alias("longest"))
+
+
+def block_profile(blocks: DataFrame) -> DataFrame:
+    """The block profile over bytes: size, h0, zero and unique bytes, run and delta scores, incompressibility.
+
+    Bytes and byte differences are counted in one aggregation, the difference of a byte standing 256 above it.
+    """
+    before = F.concat(F.array(F.lit(0)), F.slice("codes", F.lit(1), F.size("codes") - 1))
+    both = F.concat("codes", F.zip_with("codes", before, lambda a, b: F.pmod(a - b, F.lit(256)) + 256))
+    counts = blocks.select("block_id", F.explode(both).alias("value")).groupBy("block_id", "value").agg(F.count("*").alias("n"))
+    kind = F.col("value") >= 256
+    p = F.col("n") / F.sum("n").over(Window.partitionBy("block_id", kind))
+    bits = counts.withColumn("bits", -p * F.log2(p))
+    out = bits.groupBy("block_id").agg(
+        F.sum(F.when(~kind, F.col("n"))).alias("size"), F.count_if(~kind).alias("unique_bytes"), F.sum(F.when(F.col("value") == 0, F.col("n")).otherwise(0)).alias("zeros"),
+        F.round(F.sum(F.when(~kind, F.col("bits"))), 6).alias("h0"), F.round(F.sum(F.when(kind, F.col("bits"))), 6).alias("h_delta"),
+    )
+    out = out.join(byte_runs(blocks), "block_id").join(repetition_hits(blocks), "block_id", "left")
     out = out.withColumn("run_score", F.round(F.col("run_bytes") / F.col("size"), 6)).withColumn("delta_score", F.round(F.greatest(F.col("h0") - F.col("h_delta"), F.lit(0.0)) / 8, 6))
     out = out.withColumn("repetition", F.round(F.coalesce(F.col("hits") / F.col("probes"), F.lit(0.0)), 6))
     structure = F.greatest("run_score", "delta_score", "repetition")
