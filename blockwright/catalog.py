@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from blockwright.functions import scalars as S
 from blockwright.operators import dictionary, estimate, lanes, profile, ranges, segments, telemetry
 from blockwright.plans import planner, policies
+from blockwright.sources import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,7 +48,7 @@ def _times(s, d):
 
 
 def _values(s, d):
-    return lanes.lane(_table(s, d, "events"), "event_id", "value", 2048)
+    return lanes.lane(spread(_table(s, d, "events").select("event_id", "value")), "event_id", "value", 2048)
 
 
 def _kinds(s, d):
@@ -55,11 +56,11 @@ def _kinds(s, d):
 
 
 def _bytes(s, d):
-    return lanes.byte_lane(_table(s, d, "documents"), "doc_id", "text")
+    return lanes.byte_lane(spread(_table(s, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _byte_blocks(s, d):
-    return lanes.byte_blocks(_table(s, d, "documents"), "doc_id", text="text")
+    return lanes.byte_blocks(spread(_table(s, d, "documents").select("doc_id", "text")), "doc_id", text="text")
 
 
 def _lane_sql(table: str, key: str, value: str, size: int) -> str:

@@ -1 +1,14 @@
-"""See the modules."""
+"""Tables in and out."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+#: Tables under this many bytes may be a single row group, and so a single task.
+SMALL = 64 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Deals the rows of a small table to all cores before heavy per-row work; a large one has splits enough and is left alone."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if size < SMALL else table
