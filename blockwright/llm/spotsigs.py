@@ -71,8 +71,9 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 def spot_matches(docs: DataFrame, least: float = 0.8, chain: int = CHAIN) -> DataFrame:
     """Pairs (a, b, similarity) of fingerprints with similarity >= ``least``, a < b; membership is the fingerprint of ``with_signatures``."""
-    sets = with_signatures(docs.select("text"), "text", "sigs", chain).where("size(sigs) > 0")
-    sets = stored(sets.select(fingerprint(F.col("sigs")).alias("fp"), "sigs").dropDuplicates(["fp"]), "spot-sets")
+    # Written before anything filters on the sets: a filter pushed below them would compute them inside its own lambdas.
+    sets = with_signatures(docs.select("text"), "text", "sigs", chain).select(fingerprint(F.col("sigs")).alias("fp"), "sigs")
+    sets = stored(sets.dropDuplicates(["fp"]), "spot-sets").where("size(sigs) > 0")
     each = sets.select("fp", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
     rare = each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
     # A set needs to share one of its (1 - least) rarest signatures, plus one, with any set similar to it. The place
