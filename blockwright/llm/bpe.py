@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from blockwright.llm._store import table
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: Pairs of tokens remembered, and so some 150 MB a worker at most.
+CACHE_PAIRS = 600_000
 _OUT_BYTES = 1 << 21
 #: The published splitting pattern of this family of vocabularies; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -116,7 +118,7 @@ class ByteBPE:
             right = self._edges(a)[0] if a else [(b"", 0)]
             rank = self.rank
             found = bool(left) and bool(right) and not any((r := rank.get((x, y))) is not None and r < x_ends and r <= y_ends for x, x_ends in right for y, y_ends in left)
-            if len(self._stay) > 2_000_000:
+            if len(self._stay) > CACHE_PAIRS:
                 self._stay.clear()
             self._stay[(a, b)] = found
         return found
