@@ -1,12 +1,16 @@
 """Near-duplicate vectors by sorted projection passes.
 
-In every pass each vector gets a code, the signs of its products with 64 random directions; vectors are ordered by
-(label, code) and each is compared with the WINDOW next ones. Order is global: narrow rows are range-sorted and numbered
+In every pass each vector, less the mean of its label, gets a code, the signs of its products with 64 random directions;
+vectors are ordered by (label, code) and each is compared with the WINDOW next ones. Order is global: narrow rows are range-sorted and numbered
 by partition offsets, then cut into blocks that also hold the first WINDOW rows of the next block, so no pair is lost at
 a border. Pairs are verified by the cosine in double precision; each block hands on its links as stars, and groups are
-joined across passes. Directions close to a vector share long code beginnings, so two vectors at a cosine of 0.98 meet
-in one pass with a probability above 0.5 among thousands of vectors of a label, and at least once in 12 passes nearly
-surely; raise ``passes`` with the logarithm of the largest label.
+joined across passes. Vectors close to each other share long code beginnings; without the mean taken off, a direction
+that a label shares would set the same bits in all its codes.
+
+How often two near vectors meet falls with the size of a label and depends on its spread, so the number of passes is not
+fixed: labels of more than WINDOW + 1 nodes get rounds of ``passes`` new passes until a round joins no two groups, one
+such round at least beyond the first. Smaller labels are compared whole in the first pass. A pair that no round
+brings within a window is still missed; the README states the recall measured against brute force.
 
 Windows join groups but do not see every pair of a large one, so links are then counted exactly: inside each group all
 vectors are multiplied in blocks on the executors, where only counts leave a block, never pairs.
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockwright.llm._graph import components
-from blockwright.llm._store import stored, table
+from blockwright.llm._store import release, stored, table
 
 COSINE = 0.98
 PASSES, WINDOW, BLOCK = 12, 48, 2048
@@ -47,13 +51,25 @@ def _by_dim(b):
         yield int(d), b.take(pa.array(at))
 
 
-def _codes(passes: int, seed: int):
+def _sums(batches):
+    """Sums of unit vectors by label, a row per batch and label."""
+    for b in batches:
+        for dim, part in _by_dim(b):
+            labels, own = np.unique(part.column("label").to_numpy(), return_inverse=True)
+            order = np.argsort(own, kind="stable")
+            x = np.add.reduceat(_matrix(part.column("embedding"), dim)[order], np.searchsorted(own[order], np.arange(len(labels))))
+            yield pa.RecordBatch.from_arrays([pa.array(labels), pa.array(np.full(len(labels), dim, np.int32)), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "dim", "sums"])
+
+
+def _codes(first: int, passes: int, seed: int):
     def run(batches):
         planes: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for dim, part in _by_dim(b):
                 x = _matrix(part.column("embedding"), dim)
-                for p in range(passes):
+                centred = part.column("centre").is_valid().to_numpy(zero_copy_only=False)
+                x[centred] -= np.asarray(part.column("centre").filter(pa.array(centred)).flatten(), np.float64).reshape(-1, dim)
+                for p in range(first, first + passes):
                     if (p, dim) not in planes:
                         planes[p, dim] = np.random.default_rng([seed, p, dim]).standard_normal((dim, 64))
                     bits = np.packbits(x @ planes[p, dim] > 0, axis=1)
@@ -132,18 +148,12 @@ def _counted(least: float):
     return run
 
 
-def vector_groups(vectors: DataFrame, least: float = COSINE, passes: int = PASSES, window: int = WINDOW, seed: int = 7) -> DataFrame:
-    """One row per vector: vec_id, n_links (other vectors linked directly), component_id, kept."""
-    e = F.col("embedding")
-    e = e.cast("array<double>")
-    sound = F.col("label").isNotNull() & e.isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(e, lambda v: v != 0)
-    rows = vectors.select("vec_id", "label", e.alias("embedding"), F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", e)).alias("key"))
-    nodes = rows.where("key is not null").groupBy("key").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("id"))
-    nodes = stored(nodes.withColumn("label", F.xxhash64("label")).withColumn("dim", F.size("embedding")), "vectors")
+def _links(rows: DataFrame, nodes: DataFrame, first: int, passes: int, window: int, least: float, seed: int) -> DataFrame:
+    """(a, b), stored: the links that ``passes`` passes, the first of them numbered ``first``, find among ``rows``."""
     order = ["pass", "label", "dim", "code", "key"]
-    codes = nodes.select("key", "label", "dim", "embedding").mapInArrow(_codes(passes, seed), "pass int, label long, dim int, code long, key long")
-    schema = "pass int, label long, dim int, code long, key long, part int, local long"
-    placed = stored(codes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, schema), "vector-order")
+    schema = "pass int, label long, dim int, code long, key long"
+    codes = rows.select("key", "label", "dim", "embedding", "centre").mapInArrow(_codes(first, passes, seed), schema)
+    placed = stored(codes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, f"{schema}, part int, local long"), "vector-order")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     parts = stored(placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0")), "vector-parts")
     row = placed.join(F.broadcast(parts), "part").select("pass", "label", "dim", "key", (F.col("n0") + F.col("local")).alias("row"))
@@ -152,7 +162,42 @@ def vector_groups(vectors: DataFrame, least: float = COSINE, passes: int = PASSE
     both = F.when((F.col("row") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(own)
     dealt = row.withColumn("block", F.explode(both)).join(nodes.select("key", "embedding"), "key")
     links = stored(dealt.groupBy("block").applyInArrow(_compared(window, least), "a long, b long").distinct(), "vector-links")
+    release(placed, parts)
+    return links
+
+
+def vector_groups(vectors: DataFrame, least: float = COSINE, passes: int = PASSES, window: int = WINDOW, seed: int = 7) -> DataFrame:
+    """One row per vector: vec_id, n_links (other vectors linked directly), component_id, kept."""
+    e = F.col("embedding")
+    e = e.cast("array<double>")
+    sound = F.col("label").isNotNull() & e.isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(e, lambda v: v != 0)
+    rows = vectors.select("vec_id", "label", e.alias("embedding"), F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", e)).alias("key"))
+    nodes = rows.where("key is not null").groupBy("key").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("id"))
+    nodes = stored(nodes.withColumn("label", F.xxhash64("label")).withColumn("dim", F.size("embedding")), "vectors")
+    # Labels that one window does not hold whole, and the mean of each.
+    large = stored(nodes.groupBy("label", "dim").agg(F.count("*").alias("size")).where(F.col("size") > window + 1), "large-labels")
+    wide = nodes.select("key", "label", "dim", "embedding").join(large, ["label", "dim"])
+    sums = wide.select("label", "dim", "embedding").mapInArrow(_sums, "label long, dim int, sums array<double>").select("label", "dim", F.posexplode("sums").alias("place", "v"))
+    means = sums.groupBy("label", "dim", "place").agg(F.sum("v").alias("v")).join(large, ["label", "dim"])
+    # Rounded, so that codes do not depend on the order of summing.
+    means = means.groupBy("label", "dim").agg(F.array_sort(F.collect_list(F.struct("place", F.round(F.col("v") / F.col("size"), 9).alias("v")))).alias("c"))
+    centres = stored(means.select("label", "dim", F.col("c.v").alias("centre")), "label-centres")
+    every = nodes.select("key", "label", "dim", "embedding").join(centres, ["label", "dim"], "left")
+    links = _links(every, nodes, 0, passes, window, least, seed)
     groups = stored(components(links).withColumnRenamed("node", "key"), "vector-groups")
+    more, first = not large.isEmpty(), passes
+    while more:
+        links = _links(every.where("centre is not null"), nodes, first, passes, window, least, seed)
+        a, b = (groups.select(F.col("key").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))
+        new = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        new = stored(new.where("a <> b").distinct(), "new-links")
+        release(links)
+        first, more = first + passes, not new.isEmpty()
+        if more:
+            was, joined = groups, new.unionByName(groups.select(F.col("key").alias("a"), F.col("root").alias("b")))
+            groups = stored(components(joined).withColumnRenamed("node", "key"), "vector-groups")
+            release(was)
+        release(new)
     # Links inside each group, counted block against block.
     sides = groups.groupBy("root").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
     member = groups.join(sides, "root").join(nodes, "key").withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), F.col("sides")).cast("int"))

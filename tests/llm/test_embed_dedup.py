@@ -62,3 +62,17 @@ def test_edges(spark):
     rows = [(1, [1.0, 0.0], 3), (1, [1.0, 0.0], 3), (None, [1.0, 0.0], 3), (None, None, None)]
     out = embed_dedup.vector_groups(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' as key", "1 as n")).collect()
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in out) == [(0, 0, 0), (0, 2, 1), (1, 2, 1), (1, 2, 1)]
+
+
+def test_rounds_until_nothing_joins(spark):
+    """One label whose vectors share a direction, few passes and narrow windows: every planted pair is found."""
+    rng = random.Random(8)
+    g = lambda n: [rng.gauss(0, 1) for _ in range(n)]
+    mean = [2 * x for x in g(32)]
+    rows = [(i, [a + b for a, b in zip(mean, g(32))], 1) for i in range(3000)]
+    rows += [(5000 + i, [x + 0.2 * rng.gauss(0, 1) for x in rows[i][1]], 1) for i in range(150)]
+    out = embed_dedup.vector_groups(spark.createDataFrame(rows, SCHEMA), passes=3, window=6)
+    got = {r["vec_id"]: r["component_id"] for r in out.collect()}
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    near = [i for i in range(150) if sum(a * b for a, b in zip(unit(rows[i][1]), unit(rows[3000 + i][1]))) >= 0.981]
+    assert len(near) > 100 and all(got[5000 + i] == got[i] for i in near)
