@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +18,12 @@ def gram_frequencies(samples: DataFrame, key: str, text: str, least: int = 2) ->
 
 
 def train(samples: DataFrame, key: str, text: str, size: int = 4096, segment: int = 64, candidates: int = 2000) -> bytes:
-    """A dictionary of at most ``size`` bytes: segments that cover most frequent grams, the best last.
+    """A dictionary of at most ``size`` bytes: segments that cover most frequent grams, the best last; the last one taken is cut to the room left.
 
-    Frequencies and segment scores are taken on the executors; the greedy cover runs on the driver over the
-    ``candidates`` best segments only, so what it collects is bounded.
+    The greedy cover is exact over all segments. In each round executors score every segment by the grams not yet
+    covered and hand the ``candidates`` best to the driver with the next one's score; the driver takes segments as long as
+    they come before that one, since scores only fall. Each round takes one segment at least, so there are at most
+    ``size`` / 8 of them, and what a round collects is bounded.
     """
     freq = gram_frequencies(samples, key, text)
     at = F.sequence(F.lit(1), F.greatest(F.length(text) - (segment - 1), F.lit(1)), F.lit(segment // 2))
@@ -28,18 +31,24 @@ def train(samples: DataFrame, key: str, text: str, size: int = 4096, segment: in
     n = F.length("segment")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - (GRAM - 1), F.lit(1))), lambda i: F.substring(F.col("segment"), i, F.lit(GRAM))))
     best = seg.select("segment", F.explode(grams).alias("gram")).join(freq, "gram").groupBy("segment").agg(F.sum("df").alias("score"), F.collect_list(F.struct("gram", "df")).alias("grams"))
-    rows = best.orderBy(F.desc("score"), "segment").limit(candidates).collect()
-    left = {r["segment"]: {g["gram"]: g["df"] for g in r["grams"]} for r in rows}
+    best = best.select("segment", "grams").persist(StorageLevel.DISK_ONLY)
     out: list[bytes] = []
-    seen: set[str] = set()
-    while left and sum(map(len, out)) < size:
-        pick = min(left, key=lambda s: (-sum(d for g, d in left[s].items() if g not in seen), s))
-        gain = sum(d for g, d in left[pick].items() if g not in seen)
-        if not gain:
-            break
-        seen |= set(left.pop(pick))
-        if sum(map(len, out)) + len(pick.encode()) <= size:
-            out.append(pick.encode())
+    room, seen, more = size, set(), True
+    while room > 0 and more:
+        open_ = F.filter("grams", lambda g: ~g["gram"].isin(*sorted(seen))) if seen else F.col("grams")
+        now = best.select("segment", open_.alias("grams")).withColumn("score", F.aggregate("grams", F.lit(0).cast("long"), lambda n, g: n + g["df"]))
+        rows = now.where("score > 0").orderBy(F.desc("score"), "segment").limit(candidates + 1).collect()
+        more = len(rows) > candidates
+        bound = (-rows[-1]["score"], rows.pop()["segment"].encode()) if more else None
+        left = {r["segment"]: {g["gram"]: g["df"] for g in r["grams"]} for r in rows}
+        while left and room > 0:
+            gain, pick = min((-sum(d for g, d in left[s].items() if g not in seen), s.encode()) for s in left)
+            if not gain or bound and (gain, pick) > bound:
+                break
+            seen |= set(left.pop(pick.decode()))
+            out.append(pick[:room])
+            room -= len(out[-1])
+    best.unpersist()
     return b"".join(reversed(out))
 
 

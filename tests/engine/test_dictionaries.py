@@ -1,5 +1,9 @@
+import random
+from collections import Counter
+
 import pytest
 
+from blockwright.operators import dictionary
 from blockwright.sources.dictionaries import DictionaryStore
 
 
@@ -14,3 +18,23 @@ def test_store(spark, tmp_path):
     for bad in (b"", b"x" * 65536):
         with pytest.raises(ValueError):
             store.put(bad)
+
+
+def test_greedy_over_all_segments(spark):
+    """Few candidates a round give the dictionary of the plain greedy over every segment."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(30)]
+    texts = ["".join(rng.choice(words[:4] if i < 30 else words) for _ in range(4)) for i in range(90)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    grams = lambda t: {t[i : i + 8] for i in range(len(t) - 7)}
+    df = Counter(g for t in texts for g in grams(t))
+    seen, room, want = set(), 600, []
+    while room > 0:
+        gain, pick = min((-sum(df[g] for g in grams(t) - seen if df[g] > 1), t) for t in texts)
+        if not gain:
+            break
+        seen |= grams(pick)
+        want.append(pick.encode()[:room])
+        room -= len(want[-1])
+    for candidates in (3, 2000):
+        assert dictionary.train(frame, "id", "text", size=600, candidates=candidates) == b"".join(reversed(want))
