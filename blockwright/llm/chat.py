@@ -1,10 +1,11 @@
 """Chat formatting by quotation linking, with built-in functions only.
 
 Each line's nested quote level is read from its leading ">" marks. Consecutive lines of one level are a passage; a
-quoted passage is normalised (case, marks, punctuation and spacing dropped) and hashed, and so are the lines,
-paragraphs and whole texts that messages write themselves. A quoted passage links to the latest earlier message of its
-conversation that wrote it, else to the first message of a conversation with a lower id that did. A message answers the
-original of its shallowest linked passage, the last of several. Answers stand after what they answer, in order of
+quoted passage is normalised (case, marks, punctuation and spacing dropped) and hashed, whole, by paragraph and by line,
+and so are the lines, paragraphs and whole texts that messages write themselves. A part links to the latest earlier
+message of its conversation that wrote it, else, unless it is short, to the first message of a conversation with a lower
+id that did; the longest linked part of a passage names its original. A message answers the original of its shallowest
+linked passage, the last of several. Answers stand after what they answer, in order of
 writing; messages that quote nothing stand in order of their turns; a message that answers one of another conversation
 joins that conversation. Text comes out without quotes and with its role marked.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from blockwright.llm._store import release, stored, table
 
 _MARKS = r"^((?:[ \t]*>)*)[ \t]?(.*)$"
-#: Shorter passages (in letters and digits) are too common to name an original.
+#: Shorter passages (normalised) are too common to name an original in another conversation.
 LEAST_LETTERS = 8
 
 
@@ -55,30 +56,36 @@ def _passages(lines: Column) -> Column:
 
 
 def messages(conversations: DataFrame) -> DataFrame:
-    """Each message with own (its text without quotes), passages (of quoting messages) and msg, a hash of the row."""
+    """Each message with own (its text without quotes), raw (the same with blank lines, also where quotes stood), passages (of quoting messages) and msg, a hash of the row."""
     text = F.coalesce("text", F.lit(""))
     quotes = text.rlike(r"(?m)^[ \t]*>")
     rows = conversations.select("conv_id", "turn", "role", text.alias("text")).withColumn("msg", F.xxhash64("conv_id", "turn", "role", "text"))
     lines = _lines(F.col("text"))
     own = F.array_join(F.transform(F.filter(lines, lambda l: l["level"] == 0), lambda l: l["body"]), "\n")  # noqa: E741
+    raw = F.array_join(F.transform(lines, lambda l: F.when(l["level"] == 0, l["body"]).otherwise("")), "\n")  # noqa: E741
     return rows.select(
-        "conv_id", "turn", "role", "msg", F.when(quotes, F.trim(F.regexp_replace(own, r"\n{2,}", "\n"))).otherwise(F.col("text")).alias("own"),
+        "conv_id", "turn", "role", "msg", F.when(quotes, raw).alias("raw"), F.when(quotes, F.trim(F.regexp_replace(own, r"\n{2,}", "\n"))).otherwise(F.col("text")).alias("own"),
         F.when(quotes, F.filter(_passages(lines), lambda p: p["level"] > 0)).alias("passages"),
     )
 
 
+def _parts(text: Column) -> Column:
+    """The lines, paragraphs and whole of a text, normalised, without empty ones."""
+    parts = F.concat(F.split(text, r"\r?\n"), F.split(text, r"\n\s*\n"), F.array(text))
+    return F.array_distinct(F.filter(F.transform(parts, normalised), lambda p: F.length(p) > 0))
+
+
 def _written(msgs: DataFrame) -> DataFrame:
     """(hash, conv_id, turn): what messages wrote themselves, by line, by paragraph and whole."""
-    parts = F.concat(F.split("own", r"\n"), F.split("own", r"\n\s*\n"), F.array("own"))
-    said = F.filter(F.transform(parts, normalised), lambda p: F.length(p) >= LEAST_LETTERS)
+    said = _parts(F.coalesce("raw", "own"))
     return msgs.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(said, lambda p: F.xxhash64(p)))).alias("hash"))
 
 
 def links(msgs: DataFrame) -> DataFrame:
     """(msg, conv_id, turn, to_conv, to_turn): each quoting message with a known original, and that original."""
     quoted = msgs.where("passages is not null and size(passages) > 0 and conv_id is not null and turn is not null").select("msg", "conv_id", "turn", F.posexplode("passages").alias("place", "p"))
-    plain = normalised(F.col("p.text"))
-    quoted = quoted.where(F.length(plain) >= LEAST_LETTERS).select("msg", "conv_id", "turn", "place", F.col("p.level").alias("level"), F.xxhash64(plain).alias("hash"))
+    quoted = quoted.select("msg", "conv_id", "turn", "place", F.col("p.level").alias("level"), F.explode(_parts(F.col("p.text"))).alias("part"))
+    quoted = quoted.select("msg", "conv_id", "turn", "place", "level", F.length("part").alias("length"), F.xxhash64("part").alias("hash"))
     quoted = stored(quoted.distinct(), "quoted-passages")
     # Only what some message quotes is looked up. In its own conversation: the latest earlier turn.
     said = _written(msgs).join(quoted.select("hash").distinct(), "hash", "left_semi")
@@ -91,10 +98,10 @@ def links(msgs: DataFrame) -> DataFrame:
     inside = along.withColumn("to_turn", F.last(F.when(F.col("kind") == 1, F.col("turn")), ignorenulls=True).over(turns)).where("kind = 0 and to_turn is not null").drop("kind")
     first = near.groupBy("h").agg(F.min(F.struct("c", "t")).alias("first"))
     found = quoted.join(inside, ["conv_id", "hash", "turn"], "left").join(first, F.col("hash") == F.col("h"), "left")
-    other = F.when(F.col("first.c") < F.col("conv_id"), F.col("first"))
+    other = F.when((F.col("first.c") < F.col("conv_id")) & (F.col("length") >= LEAST_LETTERS), F.col("first"))
     to = F.when(F.col("to_turn").isNotNull(), F.struct(F.col("conv_id").alias("c"), F.col("to_turn").alias("t"))).otherwise(other)
     found = found.withColumn("to", to).where("to is not null")
-    best = found.groupBy("msg", "conv_id", "turn").agg(F.min(F.struct("level", (-F.col("place")).alias("place"), "to")).alias("best"))
+    best = found.groupBy("msg", "conv_id", "turn").agg(F.min(F.struct("level", (-F.col("place")).alias("place"), (-F.col("length")).alias("length"), "to")).alias("best"))
     return best.select("msg", "conv_id", "turn", F.col("best.to.c").alias("to_conv"), F.col("best.to.t").alias("to_turn"))
 
 
@@ -119,7 +126,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
     found = stored(links(msgs), "reply-links")
     paths = _paths(found)
     replies = stored(found.select("msg", F.col("to_conv").alias("reply_conv"), F.col("to_turn").alias("reply_turn")).join(paths, "msg"), "replies")
-    rows = msgs.drop("passages").join(replies, "msg", "left")
+    rows = msgs.drop("passages", "raw").join(replies, "msg", "left")
     rows = rows.withColumn("conversation", F.coalesce("root_conv", "conv_id")).withColumn("path", F.coalesce("path", F.array(F.coalesce("turn", F.lit((1 << 63) - 1)))))
     order = [F.col("conversation").asc_nulls_last(), F.col("path"), F.col("msg")]
     ranged = stored(rows.repartitionByRange(*order, F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "ordered-messages")

@@ -53,3 +53,16 @@ def test_edges(spark):
     hot = [(7, i, "user", "hello there my friend" if i % 2 == 0 else "> hello there my friend\nyes") for i in range(400)]
     out = chat.formatted(spark.createDataFrame(hot, SCHEMA)).collect()
     assert sorted(r["position"] for r in out) == list(range(400)) and all(r["reply_turn"] == r["turn"] - 1 for r in out if r["turn"] % 2)
+
+
+def test_parts_of_quotations(spark):
+    """A paragraph of a quoting reply, some lines or paragraphs of an original, and a short text of the conversation are found."""
+    rows = [
+        (1, 0, "user", "how do trains run"), (1, 1, "assistant", "> how do trains run\nfirst paragraph line\nsecond line of it\n\nanother paragraph here"),
+        (1, 2, "user", "> first paragraph line\n> second line of it\nwhy?"), (1, 3, "user", "line number one\nline number two\nline number three\n\nnext part\n\nlast part"),
+        (1, 4, "assistant", "> line number one\n> line number two\nsure"), (1, 5, "assistant", "> next part\n>\n> last part\nfine"), (1, 6, "user", "> sure\ngood"),
+        (2, 0, "user", "> sure\nshort ones stay in their conversation"),
+    ]
+    out = chat.formatted(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    reply = {(r["conv_id"], r["turn"]): r["reply_turn"] for r in out}
+    assert reply == {(1, 0): None, (1, 1): 0, (1, 2): 1, (1, 3): None, (1, 4): 3, (1, 5): 3, (1, 6): 4, (2, 0): None}
