@@ -6,7 +6,9 @@ the length of its last token, for every prefix, and words that share a prefix sh
 out in sorted order, which is the depth-first order of their trie; the walk keeps the states of the current path only
 and computes the state of every trie node once. A word's encoding is read off its path from the end.
 
-Whole encodings are remembered by word, up to CACHE_WORDS of them a Python worker.
+The tokens that may end a prefix come from an Aho-Corasick automaton of the vocabulary, whose state is carried along the
+path. What a worker remembers is bounded: PAIRS token pairs of either kind, some 40 MB, and the encodings of the batch
+before, which go at the end of the task.
 
 Defined cases: null and empty texts have no ids and decode to an empty text; special tokens named in the file are ids of
 their own wherever their string occurs, as the public library has it by default; other columns pass through and the
@@ -25,13 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwright.llm._store import table
-
-CACHE_WORDS = 300_000
-#: Pairs of tokens remembered, and so some 150 MB a worker at most.
-CACHE_PAIRS = 600_000
-_OUT_BYTES = 1 << 21
+from blockwright.llm._words import released
+
+#: Pairs of tokens of either kind, tokens' edges, and steps of the automaton that are remembered.
+PAIRS, CACHE_EDGES, STEPS = 250_000, 20_000, 300_000
+#: Characters of text that are encoded together; what is remembered of words is as large at most.
+BATCH = 1 << 22
+#: Stands for the token before a word's first.
+NONE = (1 << 20) - 1
 #: The published splitting pattern of this family of vocabularies; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII alone.
+ASCII_PATTERN = PATTERN.replace(r"\s\p{L}\p{N}", r"\sA-Za-z0-9").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
 #: Outside these ranges the pattern library and the tokenizer may know different versions of Unicode; such texts are
 #: split by the tokenizer's own splitter.
 _UNSURE = re.compile("[^\x00-՗؀-߿ऀ-௿ഀ-ൿḀ-₎₠-⯿　-ꒌ가-﫿︀-￿\U0001f300-\U0001faff\U00020000-\U0002b700]")
@@ -61,20 +68,52 @@ class ByteBPE:
         self.rank = {(as_bytes(a), as_bytes(b)): r for r, (a, b) in enumerate(merges)}
         self._made = {a + b: ((a, b), r) for (a, b), r in self.rank.items()}
         self._edge: dict[bytes, tuple] = {}
+        if max(self.ids.values()) >= NONE:
+            raise ValueError(f"{path}: too many tokens")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.token = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.packed = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
-        self._split = regex.compile(PATTERN).findall
+        self._packed = {i: i.to_bytes(4, "little") for i in self.ids.values()}
+        self._split, self._split_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
         self._library = None
-        #: By the last two bytes of a prefix: the lengths that tokens with this end have, longest first.
-        ends: dict[bytes, set[int]] = {}
-        for t in self.ids:
-            if len(t) > 1:
-                ends.setdefault(t[-2:], set()).add(len(t))
-        self._lengths = {e: (*sorted(n, reverse=True), 1) for e, n in ends.items()}
-        self._stay: dict[tuple[bytes, bytes], bool] = {}
-        self.cache: dict[str, bytes] = {}
+        self._good: set[int] = set()
+        self._bad: set[int] = set()
+        self._sizes = {i: len(t) for t, i in self.ids.items()}
+        self.before: dict[str, bytes] = {}
+        self._automaton()
+
+    def _automaton(self) -> None:
+        """The tokens as an Aho-Corasick automaton: ``_goto`` by state * 256 + byte, ``_fail`` by state, and ``_ends``, the
+        (length, id) of every token that ends where the state stands, longest first."""
+        goto, fail, ends = {}, [0], [()]
+        own: dict[int, tuple[int, int]] = {}
+        for t, i in self.ids.items():
+            s = 0
+            for c in t:
+                n = goto.get(s << 8 | c)
+                if n is None:
+                    n = goto[s << 8 | c] = len(fail)
+                    fail.append(0)
+                    ends.append(())
+                s = n
+            own[s] = (len(t), i)
+        below: dict[int, list[tuple[int, int]]] = {}
+        for k, n in goto.items():
+            below.setdefault(k >> 8, []).append((k & 255, n))
+        level = [0]
+        while level:
+            deeper = []
+            for s in level:
+                for c, n in below.get(s, ()):
+                    f = fail[s]
+                    if s:
+                        while (to := goto.get(f << 8 | c)) is None and f:
+                            f = fail[f]
+                        fail[n] = to or 0
+                    ends[n] = ((own[n],) if n in own else ()) + ends[fail[n]]
+                    deeper.append(n)
+            level = deeper
+        self._goto, self._fail, self._ends = goto, fail, ends
 
     def merged(self, parts: list[bytes]) -> list[bytes]:
         """Plain BPE: the merge of lowest rank first, leftmost first."""
@@ -103,73 +142,86 @@ class ByteBPE:
                             break
                         halves, ends = self._made[piece]
                         piece = halves[1 - side]
+            if len(self._edge) > CACHE_EDGES:
+                self._edge.clear()
             self._edge[t] = found
         return found
 
-    def _two(self, a: bytes, b: bytes) -> bool:
-        """Whether the tokens a and b stay two tokens side by side; with an empty a, whether b is one token.
+    def _two(self, pair: int) -> bool:
+        """Whether the two tokens stay two side by side; with NONE for the first, whether the second is one token.
 
-        They do unless some merge joins a piece at the right edge of a with one at the left edge of b before either is
-        merged otherwise. At equal rank the merge further left comes first.
+        They do unless some merge joins a piece at the right edge of the first with one at the left edge of the second
+        before either is merged otherwise. At equal rank the merge further left comes first.
         """
-        found = self._stay.get((a, b))
-        if found is None:
-            left = self._edges(b)[1]
-            right = self._edges(a)[0] if a else [(b"", 0)]
-            rank = self.rank
-            found = bool(left) and bool(right) and not any((r := rank.get((x, y))) is not None and r < x_ends and r <= y_ends for x, x_ends in right for y, y_ends in left)
-            if len(self._stay) > CACHE_PAIRS:
-                self._stay.clear()
-            self._stay[(a, b)] = found
+        a, b = pair >> 20, pair & NONE
+        left = self._edges(self.token[b])[1]
+        right = self._edges(self.token[a])[0] if a != NONE else [(b"", 0)]
+        rank = self.rank
+        found = bool(left) and bool(right) and not any((r := rank.get((x, y))) is not None and r < x_ends and r <= y_ends for x, x_ends in right for y, y_ends in left)
+        known = self._good if found else self._bad
+        if len(known) > PAIRS:
+            known.clear()
+        known.add(pair)
         return found
 
+    def _step(self, at: int) -> int:
+        """The automaton's next state where no token goes on; remembered, but not without bound."""
+        goto, s, c = self._goto, at >> 8, at & 255
+        while (to := goto.get(s << 8 | c)) is None and s:
+            s = self._fail[s]
+        if len(goto) < STEPS:
+            goto[at] = to or 0
+        return to or 0
+
     def walk(self, words: list[bytes]):
         """(word, its tokens' packed ids) of distinct words in sorted order."""
-        ids, lengths, stay, two, packed = self.ids, self._lengths, self._stay, self._two, self.packed
-        state = [0]  # of every prefix on the current path: the length of its last token
+        goto, fail, ends, good, bad, two, packed, sizes = self._goto, self._fail, self._ends, self._good, self._bad, self._two, self._packed, self._sizes
+        state, last = [0], [NONE]  # of every prefix on the current path: its state, its last token
         before = b""
         for word in words:
-            n, top = len(word), min(len(before), len(word))
-            shared = 0
-            if before[:top] == word[:top]:
-                shared = top
+            n = len(word)
+            if word.startswith(before):
+                shared = len(before)
             else:
-                lo, hi = 0, top
-                while hi - lo > 1:  # the longest shared prefix
-                    mid = (lo + hi) // 2
-                    if before[:mid] == word[:mid]:
-                        lo = mid
-                    else:
-                        hi = mid
-                shared = lo
-            del state[shared + 1 :]
-            for end in range(shared + 1, n + 1):
-                if end == 1:
-                    state.append(1)
-                    continue
-                for k in lengths.get(word[end - 2 : end], (1,)):
-                    if k > end:
-                        continue
-                    t = word[end - k : end]
-                    if t not in ids:
-                        continue
-                    at = end - k
-                    last = word[at - state[at] : at]
-                    ok = stay.get((last, t))
-                    if ok if ok is not None else two(last, t):
-                        state.append(k)
+                shared = 0
+                for x, y in zip(before, word):  # noqa: B905  up to where they differ
+                    if x != y:
+                        break
+                    shared += 1
+                del state[shared + 1 :], last[shared + 1 :]
+            s, end = state[shared], shared
+            for c in word[shared:]:
+                at = s << 8 | c
+                if (s := goto.get(at)) is None:
+                    s = self._step(at)
+                end += 1
+                for k, t in ends[s]:
+                    pair = last[end - k] << 20 | t
+                    if pair in good:
+                        break
+                    if pair not in bad and two(pair):
                         break
                 else:
                     raise ValueError(f"no token ends {word[:end]!r}")
-            out, end = [], n
-            while end:
-                out.append(packed[word[end - state[end] : end]])
-                end -= state[end]
-            yield word, b"".join(reversed(out))
+                state.append(s)
+                last.append(t)
+            t = last[n]
+            if sizes[t] == n:
+                yield word, packed[t]
+            else:
+                out, end = [packed[t]], n - sizes[t]
+                while end:
+                    t = last[end]
+                    out.append(packed[t])
+                    end -= sizes[t]
+                out.reverse()
+                yield word, b"".join(out)
             before = word
 
     def split(self, text: str) -> list[str]:
-        if text.isascii() or not _UNSURE.search(text):
+        if text.isascii():
+            return self._split_ascii(text)
+        if not _UNSURE.search(text):
             return self._split(text)
         if self._library is None:
             from tokenizers import Tokenizer
@@ -191,13 +243,12 @@ class ByteBPE:
         pieces = [self.pieces(t) for t in texts]
         distinct = set().union(*pieces)
         special = {p: p.to_bytes(4, "little") for p in distinct if isinstance(p, int)}
-        cache = self.cache
+        old = self.before
+        cache = {w: ids for w in distinct if (ids := old.get(w)) is not None}
         new = sorted(w.encode() for w in distinct if w not in special and w not in cache)
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = sorted(w.encode() for w in distinct if w not in special)
         for word, ids in self.walk(new):
             cache[word.decode()] = ids
+        self.before = cache
         if special:
             cache = cache | special
         return [b"".join(map(cache.__getitem__, p)) for p in pieces]
@@ -220,7 +271,7 @@ def _coded(path: str):
             at = 0
             while at < b.num_rows:
                 part, size = [], 0
-                while at + len(part) < b.num_rows and size < _OUT_BYTES:
+                while at + len(part) < b.num_rows and size < BATCH:
                     part.append(texts[at + len(part)].as_py())
                     size += len(part[-1])
                 ids = bpe.encode_batch(part)
@@ -230,8 +281,9 @@ def _coded(path: str):
                     names=[*b.schema.names, "n_tokens", "ids", "decoded"],
                 )
                 at += len(part)
+        bpe.before = {}
 
-    return run
+    return released(run)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

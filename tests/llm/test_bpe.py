@@ -46,8 +46,17 @@ def test_dataframe(docs, rows, empty, library, monkeypatch):
     assert bpe.encoded(empty, bpe.default_path()).count() == 0
 
 
-def test_small_cache(library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+def test_ascii_splits_alike():
+    coder = bpe.ByteBPE(bpe.default_path())
+    rng = np.random.default_rng(2)
+    for _ in range(2000):
+        text = bytes(rng.integers(0, 128, 40, np.uint8)).decode()
+        assert coder._split_ascii(text) == coder._split(text)
+
+
+def test_small_caches(library, monkeypatch):
+    for name in ("PAIRS", "CACHE_EDGES", "STEPS"):
+        monkeypatch.setattr(bpe, name, 50)
     coder = bpe.ByteBPE(bpe.default_path())
     for text in TEXTS:
         assert np.frombuffer(coder.encode_batch([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
