@@ -1,8 +1,9 @@
 """Connected components by alternating large and small stars, on executors only.
 
-Each round needs two aggregations with map-side combining and two joins whose hot keys adaptive execution may split, so
-a hub with a third of all links is no single task's work. Every round is written to the shared folder; nothing but the
-number of links and a checksum reaches the driver.
+Each round needs two aggregations with map-side combining and two joins. What is aggregated is written before it is
+joined, so that both sides of the join come from plain exchanges, whose hot keys adaptive execution splits: a hub with a
+third of all links is no single task's work. Every round is written to the shared folder; nothing but the number of links
+and a checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 from blockwright.llm._store import release, stored
 
 
-def _star(both: DataFrame) -> DataFrame:
-    """``both`` (u, v) with the least of each u's neighbourhood, itself included."""
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-    return both.join(least, F.col("u") == F.col("_u")).drop("_u")
+def _star(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``both`` (u, v) with the least of each u's neighbourhood, itself included; and the stored table of the least."""
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m")), "least")
+    return both.join(least, F.col("u") == F.col("_u")).drop("_u"), least
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,10 +32,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # Large stars: each node's greater neighbours move to the least of its neighbourhood.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large, least = _star(both)
+        large = stored(large.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         # Small stars: a node and its smaller neighbours move to the least of them.
-        small = _star(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small, less = _star(large)
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = stored(small.where("u <> v").distinct(), "star")
+        release(least, large, less)
         mark = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if now is not first and getattr(now, "_stored_at", None):
             release(now)

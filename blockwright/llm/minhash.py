@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from blockwright.llm._graph import components
 from blockwright.llm._store import stored, table
-from blockwright.llm._words import Words, mix, runs, slices
+from blockwright.llm._words import Words, mix, released, runs, slices
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -129,7 +129,7 @@ def _banded(bands: int, rows: int, size: int):
                     _, one = np.unique(key, return_index=True)  # copies in this slice are one node
                     yield pa.RecordBatch.from_arrays([pa.array(out[some][one].ravel().view(np.int64)), pa.array(np.repeat(key[one], bands))], names=["band", "key"])
 
-    return run
+    return released(run)
 
 
 def similar(words: Words, least: float, size: int = WORDS, across: np.ndarray | None = None) -> np.ndarray:
@@ -213,7 +213,9 @@ def near_links(docs: DataFrame, size: int = WORDS, least: float = SIMILARITY, ba
     ends = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("band", "lo")
     members = stored(banded.join(ends, "band").select("lo", "key").distinct(), "candidate-groups")
     # One text per candidate key. The chosen row is joined by id too, so copies of one text do not meet in one task.
-    wanted = docs.select("key", "doc_id").join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id"))
+    # The least id of a key is found first, with map-side combining, and only then compared with the candidates.
+    least_ids = docs.groupBy("key").agg(F.min("doc_id").alias("_id"))
+    wanted = least_ids.join(members.select("key").distinct(), "key", "left_semi")
     wanted = stored(wanted.withColumnRenamed("key", "_key"), "candidates")
     # Candidates grow with the corpus, so they are never broadcast, however few they are today.
     texts = docs.join(wanted.hint("merge"), (docs["key"] == wanted["_key"]) & docs["doc_id"].eqNullSafe(wanted["_id"])).select("key", "text")
@@ -254,6 +256,7 @@ def near_deduped(docs: DataFrame, size: int = WORDS, least: float = SIMILARITY,
     classes = classes.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     best = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("best"))
     classes = classes.join(best, "root").select("key", F.col("best.id").alias("class_id"), F.col("best.key").alias("best_key"))
+    classes = stored(classes, "document-classes")  # so that the hot keys of the next join come from plain exchanges
     out = narrow.join(classes, "key", "left")
     kept = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("best_key")))
     return out.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("kept"))
