@@ -22,6 +22,8 @@ different lengths do not link; null ids take part but give no component its name
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,11 +32,14 @@ from pyspark.sql import functions as F
 
 from blockwright.llm._graph import components
 from blockwright.llm._store import release, stored, table
+from blockwright.llm._words import released
 
 COSINE = 0.98
 PASSES, WINDOW, BLOCK = 12, 48, 2048
 #: Side of the blocks in which links of a group are counted.
 SIDE = 256
+#: Cosines nearer to the limit than this are summed exactly.
+EDGE = 1e-12
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -76,7 +81,7 @@ def _codes(first: int, passes: int, seed: int):
                     code = bits.reshape(-1).view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)  # signed order is code order
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), p, np.int32)), part.column("label"), part.column("dim"), pa.array(code.view(np.int64)), part.column("key")], names=["pass", "label", "dim", "code", "key"])
 
-    return run
+    return released(run)
 
 
 def _numbered(batches):
@@ -102,6 +107,15 @@ def _roots(n: int, pairs) -> np.ndarray:
     return np.array([find(i) for i in range(n)], np.int64)
 
 
+def _near(s: np.ndarray, x, y, least: float) -> np.ndarray:
+    """Which cosines ``s`` reach ``least``. Sums round differently in different kernels, so a cosine that lies on the edge is
+    summed exactly from its two vectors (``x`` and ``y`` of its place): every caller decides alike on a pair."""
+    near = s >= least
+    for at in zip(*np.nonzero(np.abs(s - least) < EDGE), strict=True):
+        near[at] = math.fsum(x(*at) * y(*at)) >= least
+    return near
+
+
 def _compared(window: int, least: float):
     """Links inside one block of the order, as stars: (key, root's key)."""
 
@@ -117,7 +131,7 @@ def _compared(window: int, least: float):
             x = _matrix(block.column("embedding").slice(lo, hi - lo).combine_chunks(), int(group[2][lo]))
             pairs = []
             for d in range(1, min(window, hi - lo - 1) + 1):
-                at = np.flatnonzero(np.einsum("ij,ij->i", x[:-d], x[d:]) >= least)
+                at = np.flatnonzero(_near(np.einsum("ij,ij->i", x[:-d], x[d:]), lambda i: x[i], lambda i: x[i + d], least))  # noqa: B023
                 pairs.extend(zip(at.tolist(), (at + d).tolist(), strict=True))
             if pairs:
                 root = _roots(hi - lo, pairs)
@@ -139,7 +153,7 @@ def _counted(least: float):
         key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
         x = _matrix(rows.column("embedding").combine_chunks(), rows.column("dim")[0].as_py())
         a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        near = x[a] @ x[b].T >= least
+        near = _near(x[a] @ x[b].T, lambda p, q: x[a[p]], lambda p, q: x[b[q]], least)
         if i[0] == j[0]:
             np.fill_diagonal(near, False)
             return pa.table({"key": key[a], "links": near @ n[b]})
