@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,5 +52,22 @@ def release(*tables: DataFrame) -> None:
             fs.delete(p, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name where SQL or DDL reads it: spaces, dots and quotes are part of it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fields(df: DataFrame) -> str:
+    """The columns of ``df`` as DDL."""
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def plain_names(df: DataFrame):
+    """``df`` with names that a map over Arrow batches can resolve (no dots, spaces or quotes), and the way back."""
+    safe = {c: c if c.isidentifier() else f"_named_{i}" for i, c in enumerate(df.columns)}
+    own = {s: c for c, s in safe.items()}
+    return df.select(*[F.col(quoted(c)).alias(s) for c, s in safe.items()]), lambda out: out.select(*[F.col(s).alias(own.get(s, s)) for s in out.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

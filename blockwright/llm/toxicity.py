@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm._store import stored, table
+from blockwright.llm._store import fields, plain_names, stored, table
+from blockwright.llm._words import released
 
-#: Labelled rows that teach, at most (the first by a hash of the id); entries of the lexicon, at most.
+#: Labelled rows that teach, at most (the first by a hash of the id).
 TRAINING_ROWS = 20_000
-LEXICON_SIZE = 4_000
 THRESHOLD = 0.3
 #: Lengths of the word beginnings that may become entries.
 STEMS = range(4, 8)
@@ -90,7 +90,7 @@ def _counts(batches):
         for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             words = set(folded(text or "").split())
             stems = {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
-            (toxic if y else clean).update({f" {w} " for w in words if len(w) > 2} | stems)
+            (toxic if y else clean).update({f" {w} " for w in words} | stems)
             docs[y] += 1
     entries = [*toxic, "#"]
     yield pa.RecordBatch.from_pydict({"entry": entries, "toxic": [*toxic.values(), docs[1]], "clean": [*(clean[e] for e in toxic), docs[0]]})
@@ -155,13 +155,13 @@ def _fit(bins: list[tuple[int, int, int]]) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
     """The lexicon and the logistic function, from labelled rows whose crc32(id) mod 4 is not 2.
 
-    At most TRAINING_ROWS rows teach, so what is broadcast, and the LEXICON_SIZE entries that reach the driver, are
-    bounded whatever the size of the corpus.
+    At most TRAINING_ROWS rows teach. Every entry with enough evidence in them is taken; entries need LEAST_DOCS toxic
+    rows each, so what reaches the driver and is broadcast is bounded by those rows, whatever the size of the corpus.
     """
     rows = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"))
     rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(TRAINING_ROWS)
     train = stored(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "toxic"), "toxicity-train")
-    counted = stored(train.mapInArrow(_counts, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
+    counted = stored(train.mapInArrow(released(_counts), "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
     whole = counted.where("entry = '#'").first()
     lexicon = {f" {w} ": SEED_WEIGHT for w in SEED_WORDS}
     if not whole or not whole["toxic"] or not whole["clean"]:
@@ -171,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     seen = counted.where("entry <> '#'").withColumn("odds", odds)
     for r in seen.where(F.col("entry").isin(list(lexicon))).collect():
         lexicon[r["entry"]] = _weight(r["odds"])
-    best = seen.where((F.col("odds") >= LEAST_ODDS) & (F.col("toxic") >= LEAST_DOCS)).orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "entry").limit(LEXICON_SIZE)
+    best = seen.where((F.col("odds") >= LEAST_ODDS) & (F.col("toxic") >= LEAST_DOCS))
     lexicon |= {r["entry"]: _weight(r["odds"]) for r in best.collect()}
     lexicon = {e: w for e, w in lexicon.items() if w > 0}
 
@@ -188,8 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from THRESHOLD on). A map over rows: nothing is shuffled."""
     docs = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON_SIZE
-    fields = docs.schema.simpleString()[len("struct<"):-1]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAINING_ROWS
 
     def run(batches):
         automaton, (a, b) = _automaton(shared.value["lexicon"]), shared.value["fit"]
@@ -199,7 +198,8 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
             predicted = pa.array([int(s >= THRESHOLD) for s in score], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), predicted], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int")
+    docs, named = plain_names(docs)
+    return named(docs.mapInArrow(released(run), f"{fields(docs)}, score double, predicted int"))
 
 
 def op3_toxicity(spark, sf_dir):

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -57,3 +59,63 @@ def test_edges(spark, docs, rows, empty):
     assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out) and {r["predicted"] for r in out} == {0}
     assert toxicity.scored(empty, model).count() == 0
     assert toxicity.learn(empty, labels)["fit"] == toxicity.DEFAULT_FIT
+
+
+def plain_score(text, lexicon, fit):
+    """A slow scorer: every entry is looked for at every place."""
+    t = toxicity.folded(text or "")
+    exempt = set()
+    for p in toxicity.EXCEPTIONS:
+        p = f" {toxicity.folded(p).strip()} "
+        for s in range(len(t)):
+            if t.startswith(p, s):
+                exempt |= set(range(s, s + len(p) - 1))
+    hits = defaultdict(int)
+    for s in range(len(t)):
+        found = [w for e, w in lexicon.items() if t.startswith(e, s)]
+        if found and s not in exempt:
+            hits[max(found), t[s:].split(" ")[1]] += 1
+    weight = sum(w * (1 + math.log(n)) for (w, _), n in hits.items())
+    x = math.log1p(4 * weight / math.sqrt(len(t.split()) + toxicity.PAD_WORDS))
+    return 1 / (1 + math.exp(-(fit[0] * x + fit[1])))
+
+
+def test_brute_force(spark):
+    """Counts, weights and scores against plain versions, a very long text among them."""
+    docs, labels = made(300)
+    docs += [(1000, None), (1001, ""), (1002, "you idiot " * 3000), (1003, "Zorgabel in the trash can, 1D10T trash"), (1003, "Zorgabel in the trash can, 1D10T trash")]
+    d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(d, l)
+    y, text, seen, n = dict(labels), dict(docs), {0: Counter(), 1: Counter()}, Counter()
+    for i, t in y.items():
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            words = set(toxicity.folded(text[i]).split())
+            seen[t].update({f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in toxicity.STEMS if len(w) > k})
+            n[t] += 1
+    want = {f" {w} ": toxicity.SEED_WEIGHT for w in toxicity.SEED_WORDS}
+    for e in set(seen[0]) | set(seen[1]):
+        a, b = seen[1][e], seen[0][e]
+        odds = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1)) - toxicity.ERRORS * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        if e in want or odds >= toxicity.LEAST_ODDS and a >= toxicity.LEAST_DOCS:
+            want[e] = max(0.0, odds) ** 2 / 4
+    want = {e: w for e, w in want.items() if w > 0}
+    assert model["lexicon"].keys() == want.keys() and all(abs(model["lexicon"][e] - w) < 1e-9 for e, w in want.items())
+    out = toxicity.scored(d, model).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        assert abs(r["score"] - plain_score(r["text"], want, model["fit"])) < 1e-9 and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_no_entry_is_dropped(spark):
+    """More entries than any fixed size: each word stands in enough toxic rows."""
+    words = [f"zq{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(5000)]
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, " ".join(words) if k % 2 else "fine words only") for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels)["lexicon"]
+    assert all(f" {w} " in lexicon for w in words)
+
+
+def test_column_names(spark):
+    docs = spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, `a b.c` string")
+    assert toxicity.scored(docs, {"lexicon": {}, "fit": toxicity.DEFAULT_FIT}).columns == ["doc_id", "text", "a b.c", "score", "predicted"]
