@@ -2,8 +2,9 @@
 
 Rows are put in one global order (by text hash, then id, so that equal texts stand together), running sums are taken
 inside each range partition, the partitions' totals (one row a partition) give every partition's offset, and the whole
-is cut at equal shares of all bytes. Where a cut falls inside a group of equal texts that is small against a shard, it
-moves to the group's nearer end; a larger group is cut, or sizes could not be near equal.
+is cut at equal shares of all bytes. Where a cut falls inside a group of equal texts it moves to the group's nearer end if
+that is near: within 1 % of a shard, or within two rows of the group and a tenth of a shard, since a cut is no finer than a
+row anyway. Elsewhere the group is cut, or sizes could not be near equal.
 
 Defined cases: null text counts no bytes, so size 1, crc32 0; null ids come first within their text; repeated rows each
 get a slot; an empty table gives an empty table; shards past the last row may be empty.
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from blockwright.llm._store import stored, table
 
-#: A cut moves to the end of a group of equal texts if the group is at most this share of a shard.
-GROUP_SHARE = 0.01
+#: A cut moves to the nearer end of a group of equal texts if that is no further than this share of a shard, or than two
+#: of the group's rows where those are no more than ROWS_SHARE of a shard.
+GROUP_SHARE, ROWS_SHARE = 0.01, 0.1
 
 
 def _running(batches):
@@ -71,12 +73,13 @@ def _cuts(order: DataFrame, shards: int, group_share: float) -> list[int]:
     # A cut on a row's edge needs no move of the row, but may stand between two equal texts.
     edge = order.where(F.col("bytes_before").isin(cuts)).select(F.col("bytes_before").alias("cut"), "text_hash").distinct()
     crossing = crossing.unionByName(edge).distinct()
-    spans = order.join(F.broadcast(crossing), "text_hash").groupBy("cut", "text_hash").agg(F.min("bytes_before").alias("a"), F.max(F.col("bytes_before") + F.col("size")).alias("b"))
-    moved = {r["cut"]: (r["a"], r["b"]) for r in spans.collect()}
+    spans = order.join(F.broadcast(crossing), "text_hash").groupBy("cut", "text_hash").agg(F.min("bytes_before").alias("a"), F.max(F.col("bytes_before") + F.col("size")).alias("b"), F.max("size").alias("row"))
+    moved = {r["cut"]: (r["a"], r["b"], r["row"]) for r in spans.collect()}
     out = []
     for c in cuts:
-        a, b = moved.get(c, (c, c))
-        out.append((a if c - a <= b - c else b) if b - a <= group_share * total / shards else c)
+        a, b, row = moved.get(c, (c, c, 0))
+        near = max(group_share * total / shards, min(2 * row, ROWS_SHARE * total / shards))
+        out.append((a if c - a <= b - c else b) if min(c - a, b - c) <= near else c)
     return out
 
 
