@@ -3,7 +3,9 @@
 A spot signature is a common word (an antecedent such as "the" or "der") and the chain of content words that follows it,
 other common words skipped. The set of a text's signatures, hashed, is its fingerprint: templates and navigation hold
 few antecedents and hardly show, running text does. The start of the text counts as an antecedent too, so short texts
-have a signature; a text of common words alone has itself as its only one.
+have a signature; a text of common words alone has itself as its only one. Tables, junk and texts in languages without
+antecedents would have that one only, whatever their length, so one content word in ANCHOR_SHARE, chosen by its hash
+alone, is an anchor as well: it starts a chain with the content words after it, anywhere in any text.
 
 ``spot_matches`` finds similar texts in a corpus: sets are dealt by their length, since sets of very different length
 cannot be similar, compared only where they share one of their rarest signatures (as many as the similarity demands),
@@ -32,7 +34,9 @@ SKIPPED = (
     "al con del las lo más no o para pero por se sin su sus un una"
 ).split()
 CHAIN = 2
-_START = "\x02"
+#: One content word in so many is an anchor.
+ANCHOR_SHARE = 8
+_START, _ANCHOR = "\x02", "\x03"
 _SEPARATORS = r"[\s\p{Punct}]++"
 
 
@@ -53,7 +57,8 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
     link = lambda first: [F.get(content, first + c) for c in range(chain)]
     spots = F.transform("_at", lambda i, k: F.when(i - k < F.size(content), F.hash(F.get(words, i), *link(i - k))))
     start = F.when(F.size(content) > 0, F.array(F.hash(F.lit(_START), *link(F.lit(0))))).when(low == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(low)))
-    df = df.withColumn(out, F.sort_array(F.array_distinct(F.array_compact(F.concat(start, spots)))))
+    chosen = F.transform("_content", lambda w, c: F.when(F.xxhash64(w).bitwiseAND(ANCHOR_SHARE - 1) == 0, F.hash(F.lit(_ANCHOR), w, *link(c + 1))))
+    df = df.withColumn(out, F.sort_array(F.array_distinct(F.array_compact(F.concat(start, spots, chosen)))))
     return df.drop("_words", "_content", "_at")
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from blockwright.llm import spotsigs
@@ -22,6 +23,9 @@ def plain_spots(text, chain=2):
         after = [x for x in words[i + 1 :] if x not in common][:chain]
         if w in spotsigs.ANTECEDENTS and after:
             out.add((w, *after))
+    for i, w in enumerate(content):
+        if xxhash.xxh64(w.encode(), seed=42).intdigest() % spotsigs.ANCHOR_SHARE == 0:
+            out.add(("\x03", w, *content[i + 1 : i + 1 + chain]))
     return out
 
 
@@ -59,6 +63,18 @@ def test_query(spark, docs, rows, tmp_path):
             assert texts.setdefault(by[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
 
 
+def test_texts_without_antecedents(spark):
+    """Long texts that share a beginning only, without any antecedent, tell each other apart, and so do halves."""
+    rng = random.Random(8)
+    line = "zorb krell mumf tagge"
+    texts = [line + " " + " ".join("".join(rng.choice("bdfgklmnprst") for _ in range(5)) for _ in range(300)) for _ in range(12)]
+    out = spotsigs.with_signatures(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), "text", "sigs")
+    rows = out.select("i", "text", "sigs", spotsigs.fingerprint(F.col("sigs")).alias("fp")).collect()
+    assert len({r["fp"] for r in rows}) == 12 and all(len(r["sigs"]) > 15 for r in rows)
+    spots = [plain_spots(r["text"]) for r in rows]
+    assert all(jaccard(a, b) < 0.1 for i, a in enumerate(spots) for b in spots[:i])
+
+
 def test_matches(spark, empty):
     rng = random.Random(5)
     words = [*spotsigs.ANTECEDENTS[:8] * 12, *("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300))]
