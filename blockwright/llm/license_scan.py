@@ -1,17 +1,29 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates. Built-in functions only.
 
-Paragraphs (lines) that hold a cue word are classified by a logistic regression over word 1- and 2-grams, sparse by an
-L1 penalty, into licence families and "unknown". It is trained on the templates below, their sentences and halves, and
-on sentences about licences that license nothing. A family counts if its probability passes a threshold calibrated on
-unknown sentences kept out of training, and if the paragraph shares enough of its words' pairs with a template of the
-family. A paragraph without any cue word holds no licence by definition: every template sentence has one.
-
-Defined cases: null and empty texts have no licence; repeated paragraphs count each time and are classified once;
-repeated rows each get their result; null ids come through; other columns are ignored.
+Paragraphs are lines, and blocks of several lines without a blank one between (a wrapped licence), joined. They are
+classified by a logistic regression over word 1- and 2-grams (common words alone excepted), made sparse by an L1 penalty, into licence families and
+"unknown". It is trained on the templates below, their sentences and halves, on usual notices (every name of a family in
+every phrase), and on sentences about licences that license nothing. A family counts if its probability passes a
+threshold calibrated on such unknown sentences kept out of training as the templates would confirm, and if the paragraph shares enough of its words' pairs
+with a template or notice of the family.
+
+Only paragraphs to which the model can give a family reach it: a family's score exceeds that of "unknown" only by grams
+whose weight for it is greater. Grams are set aside while all of them together cannot lift any family that far; a paragraph
+without any of the rest is unknown, and a pattern made of the rest, read off the fitted model, finds the others. It drops
+nothing that the model would not call unknown.
+
+Defined cases: null and empty texts have no licence; n_paragraphs counts the lines that hold one, repeated ones each time,
+or, in a text without such a line, the blocks; a paragraph is classified once for all texts that hold it; ties go to the greater probability, then to the family later by code
+point; repeated rows each get their result; null ids come through; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,11 +89,14 @@ TEMPLATES = {
         "This work has been dedicated to the public domain.",
     ],
     "proprietary": [
+        "All rights reserved.",
+        "Copyright, all rights reserved.",
         "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form without the prior written permission of the copyright holder.",
         "Copyright, all rights reserved. Unauthorized copying of this file is strictly prohibited; proprietary and confidential.",
     ],
 }
 UNKNOWN = [
+    "Er ging mit ihr durch den Wald.", "Mit der Zeit wurde es still.", "Das Haus mit dem roten Dach steht leer.", "Komm mit.", "Wer nicht mit mir ist.", "mit",
     "His driver's license was revoked after the third accident.", "She applied for a fishing license at the county office.", "The band released their second album under the new label.",
     "Poetic license allows an author to depart from the facts.", "The warranty on the dishwasher expired last month.", "The general public was not allowed to enter the building.",
     "The Apache helicopter landed near the village before dawn.", "Students at MIT built a bridge out of spaghetti.", "The software was free of charge during the trial and then cost ten dollars.",
@@ -92,13 +107,37 @@ UNKNOWN = [
 ]
 #: Kept out of training; they calibrate the threshold.
 CALIBRATION = [
+    "Sie kam mit dem Zug aus Wien.",
     "The pilot lost her license and sued the airline.", "The museum published a catalogue with permission of the family.", "A general warranty covers the engine and the gearbox.",
     "The Apache and the Navajo are peoples of the southwest.", "The lecture on copyright was distributed to all students.", "The pub has a license to sell wine and beer.",
     "He works at MIT on the theory of free software.", "The commons voted on version three of the bill.", "Conditions in the mine are not provided for by law.",
 ]
-CUES = r"(?i)\b(?:licen[cs]\w*|unlicense|copyright\w*|permi(?:ssion|tted)\w*|warrant(?:y|ies)|redistribut\w*|spdx\S*|gnu|l?gpl\S*|mpl\S*|mit|bsd\S*|apache|mozilla|creative commons|cc0|cc[ -]by\S*|public domain|rights reserved|foundation|proprietary|version)\b"
+#: Names that notices use; every name of a family stands in every phrase.
+NAMES = {
+    "mit": ["the MIT License", "the MIT license", "MIT", "the Expat License"],
+    "apache": ["the Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "the Apache 2.0 license"],
+    "bsd": ["the BSD License", "the 3-clause BSD license", "a BSD-style license", "BSD-2-Clause", "BSD-3-Clause"],
+    "gpl": ["the GNU General Public License", "the GNU General Public License, version 3", "the GNU General Public License, version 2 or later", "the GNU GPL v3", "GPL-3.0-or-later", "GPL-2.0-only", "the GPL, version 2"],
+    "lgpl": ["the GNU Lesser General Public License", "the GNU Lesser General Public License, version 2.1", "the GNU LGPL", "LGPL-2.1-only", "LGPL-3.0-or-later"],
+    "mpl": ["the Mozilla Public License", "the Mozilla Public License, version 2.0", "the Mozilla Public License, v. 2.0", "MPL-2.0", "the MPL 2.0"],
+    "cc-by": ["a Creative Commons Attribution 4.0 International License", "CC BY 4.0", "CC BY-SA 4.0", "CC BY-SA 3.0", "the Creative Commons Attribution-ShareAlike License", "CC-BY-4.0"],
+    "cc-by-nc": ["a Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "CC-BY-NC-4.0"],
+    "public-domain": ["CC0 1.0 Universal", "the Unlicense", "CC0-1.0", "a public domain dedication"],
+}
+PHRASES = (
+    "Released under {}.", "Licensed under {}.", "This work is licensed under {}.", "This project is licensed under the terms of {}.", "This library is released under {}, see LICENSE.",
+    "The source code is distributed under {}.", "All content is available under {}.", "License: {}", "SPDX-License-Identifier: {}", "This file may be used under the terms of {}; see the file COPYING for details.",
+    "Copyright the authors. Licensed under {}.",
+)
+#: Words that tell no family from anything; grams of these alone are no features.
+COMMON = (
+    "a all also an and any are as at be been but by can do for from had has have he his if in into is it its may must no not of on one or other our shall she should so such than that the their them there these "
+    "they this those to under used was we were what when which who will with without would you your"
+).split()
 #: Least share of the shorter one's word pairs that paragraph and template have in common.
 SHARED = 0.5
+#: Distinct paragraphs that one task classifies, about.
+PER_TASK = 4000
 
 
 def _words(paragraph: Column) -> Column:
@@ -112,23 +151,54 @@ def grams(paragraph: Column) -> Column:
     return F.array_distinct(F.concat(w, pairs))
 
 
+def features(paragraph: Column) -> Column:
+    """The grams that the model sees: those with a word that says something."""
+    common = "|".join(COMMON)
+    return F.filter(grams(paragraph), lambda g: ~g.rlike(f"^(?:{common})(?: (?:{common}))?$"))
+
+
 def _sentences(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     """A literal table (family, paragraph)."""
-    made = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(p).alias("paragraph")) for f, p in rows]))
+    kind = "array<struct<family string, paragraph string>>"
+    made = F.explode(F.from_json(F.lit(json.dumps([{"family": f, "paragraph": p} for f, p in rows])), kind))
     return spark.range(1).select(made.alias("r")).select("r.*")
 
 
+def notices() -> list[tuple[str, str]]:
+    """(family, text) of the templates, and of every name in every phrase."""
+    made = [(f, phrase.format(name)) for f, names in NAMES.items() for name in names for phrase in PHRASES]
+    return [(f, p) for f, ps in TEMPLATES.items() for p in ps] + made
+
+
 def _training(spark: SparkSession) -> DataFrame:
-    """Templates whole, as sentences, and as first and second halves; unknown sentences whole."""
-    rows = []
+    """Templates and notices whole, templates as sentences, and as first and second halves; unknown sentences whole, twice
+    for each family, since whatever names no licence must weigh more than any family."""
+    rows = notices()
     for family, paragraphs in TEMPLATES.items():
         for p in paragraphs:
             w = p.split()
-            parts = {p, *(s.strip() for s in p.replace(";", ".").split(". ") if len(s.split()) > 3)}
+            parts = {s.strip() for s in p.replace(";", ".").split(". ") if len(s.split()) > 3} - {p}
             if len(w) > 12:
                 parts |= {" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])}
             rows += [(family, x) for x in sorted(parts)]
-    return _sentences(spark, rows + [("unknown", p) for p in UNKNOWN])
+    return _sentences(spark, rows + [("unknown", p) for p in UNKNOWN] * (2 * len(TEMPLATES)))
+
+
+def _one_of(grams: list[str]) -> str:
+    """A pattern for texts that hold one of the grams; words that begin alike share their beginning in it."""
+    trie: dict = {}
+    for g in grams:
+        node = trie
+        for c in g:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [("[^\\p{L}\\p{N}]+" if c == " " else re.sub(r"([^\w])", r"\\\1", c)) + pattern(below) for c, below in sorted(node.items()) if c]
+        body = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
+        return f"(?:{body})?" if "" in node and body else body
+
+    return r"(?iu)(?<![\p{L}\p{N}])" + pattern(trie) + r"(?![\p{L}\p{N}])"
 
 
 class LicenceModel:
@@ -138,16 +208,34 @@ class LicenceModel:
         from pyspark.ml.classification import LogisticRegression
         from pyspark.ml.feature import CountVectorizer, StringIndexer
 
-        train = _training(spark).withColumn("grams", grams(F.col("paragraph"))).coalesce(1)
+        train = _training(spark).withColumn("grams", features(F.col("paragraph"))).coalesce(1)
         self._vector = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(train)
         index = StringIndexer(inputCol="family", outputCol="y", stringOrderType="alphabetAsc").fit(train)
-        fit = LogisticRegression(labelCol="y", family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=60, standardization=False)
+        fit = LogisticRegression(labelCol="y", family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=60, standardization=False)
         self._model = fit.fit(index.transform(self._vector.transform(train)))
         self.families = index.labels
+        self.gate = self._gate()
         away = _sentences(spark, [("unknown", p) for p in CALIBRATION])
-        worst = self.predicted(away).agg(F.max(F.when(F.col("family") != "unknown", F.col("probability")))).first()[0]
+        worst = compared(self.predicted(away)).where((F.col("family") != "unknown") & (F.col("likeness") >= SHARED)).agg(F.max("probability")).first()[0]
         self.threshold = min(0.9, max(0.5, worst or 0.0))
 
+    def _gate(self) -> str | None:
+        """The pattern of paragraphs that may score higher for a family than for "unknown"; None if all may."""
+        weight, base = self._model.coefficientMatrix.toArray(), self._model.interceptVector.toArray()
+        u = self.families.index("unknown")
+        if (np.delete(base, u) >= base[u]).any():
+            return None
+        gain, room = np.maximum(weight - weight[u], 0), base[u] - base
+        needed, silent = [], np.zeros(len(base))
+        # Grams that not even all together lift a family over "unknown" need not be looked for: the shortest go first.
+        for g, i in sorted(((g, i) for i, g in enumerate(self._vector.vocabulary)), key=lambda x: (x[0].count(" "), len(x[0]), x[0])):
+            with_it = silent + gain[:, i]
+            if (np.delete(with_it, u) < np.delete(room, u) - 1e-6).all():
+                silent = with_it
+            else:
+                needed.append(g)
+        return _one_of(needed)
+
     def predicted(self, paragraphs: DataFrame) -> DataFrame:
         """``paragraphs`` with family and probability, the best class before threshold and templates."""
         from pyspark.ml.functions import vector_to_array
@@ -159,30 +247,46 @@ class LicenceModel:
         return out.withColumn("probability", F.array_max(p)).withColumn("family", label).drop("_p", "_y", "_r", "features")
 
 
+def compared(seen: DataFrame) -> DataFrame:
+    """``seen`` (paragraph, family) with likeness, the share of word pairs in common with the family's closest template or notice."""
+    templates = _sentences(seen.sparkSession, notices()).select("family", F.filter(grams(F.col("paragraph")), lambda g: g.contains(" ")).alias("t"))
+    templates = templates.groupBy("family").agg(F.collect_list("t").alias("templates"))  # fixed, a few hundred
+    seen = seen.join(F.broadcast(templates), "family", "left").withColumn("pairs", F.filter(grams(F.col("paragraph")), lambda g: g.contains(" ")))
+    share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, "pairs")) / F.greatest(F.least(F.size(t), F.size("pairs")), F.lit(1))))
+    return seen.withColumn("likeness", F.coalesce(share, F.lit(0.0))).drop("pairs", "templates")
+
+
 def classified(paragraphs: DataFrame, model: LicenceModel) -> DataFrame:
     """``paragraphs`` (paragraph) with family ("unknown" where nothing is confirmed), probability and likeness to the closest template."""
-    spark = paragraphs.sparkSession
-    templates = _sentences(spark, [(f, p) for f, ps in TEMPLATES.items() for p in ps]).select("family", F.filter(grams(F.col("paragraph")), lambda g: g.contains(" ")).alias("t"))
-    templates = templates.groupBy("family").agg(F.collect_list("t").alias("templates"))  # fixed, a few dozen
-    seen = model.predicted(paragraphs).join(F.broadcast(templates), "family", "left").withColumn("pairs", F.filter("grams", lambda g: g.contains(" ")))
-    share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, "pairs")) / F.greatest(F.least(F.size(t), F.size("pairs")), F.lit(1))))
-    seen = seen.withColumn("likeness", F.coalesce(share, F.lit(0.0)))
+    seen = compared(model.predicted(paragraphs))
     sure = (F.col("family") != "unknown") & (F.col("probability") >= model.threshold) & (F.col("likeness") >= SHARED)
-    return seen.withColumn("family", F.when(sure, F.col("family")).otherwise(F.lit("unknown"))).drop("grams", "pairs", "templates")
+    return seen.withColumn("family", F.when(sure, F.col("family")).otherwise(F.lit("unknown"))).drop("grams")
+
+
+def _units(text: Column) -> Column:
+    """array<struct<line, p>>: lines, and blocks of several lines as one."""
+    blocks = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p.contains("\n"))
+    joined = F.transform(blocks, lambda p: F.struct(F.lit(False).alias("line"), F.regexp_replace(p, r"\s*\n\s*", " ").alias("p")))
+    return F.concat(F.transform(F.split(text, r"\r?\n"), lambda p: F.struct(F.lit(True).alias("line"), p.alias("p"))), joined)
 
 
 def licence_paragraphs(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
-    """(doc_id, hash, paragraph, n, family, probability, likeness): the distinct cue-bearing paragraphs of each text, classified."""
-    cued = docs.where(F.col("text").rlike(CUES)).select("doc_id", F.xxhash64("text").alias("hash"), F.explode(F.filter(F.split("text", r"\n"), lambda p: p.rlike(CUES))).alias("paragraph"))
-    cued = stored(cued.groupBy("doc_id", "hash", "paragraph").agg(F.count("*").alias("n")), "cued-paragraphs")
-    known = stored(classified(cued.select("paragraph").distinct(), model or LicenceModel(docs.sparkSession)), "classified-paragraphs")
+    """(doc_id, hash, line, paragraph, n, family, probability, likeness): the distinct paragraphs of each text that the model may give a family, classified."""
+    model = model or LicenceModel(docs.sparkSession)
+    may = (lambda c: c.rlike(model.gate)) if model.gate else (lambda c: F.trim(c) != "")
+    cued = docs.where(may(F.col("text"))).select("doc_id", F.xxhash64("text").alias("hash"), F.explode(F.filter(_units(F.col("text")), lambda u: may(u["p"]))).alias("u"))
+    cued = stored(cued.groupBy("doc_id", "hash", F.col("u.line").alias("line"), F.col("u.p").alias("paragraph")).agg(F.count("*").alias("n")), "cued-paragraphs")
+    # The model's work is by row, not by byte: every task gets as many.
+    distinct = stored(cued.select("paragraph").distinct(), "distinct-paragraphs")
+    parts = max(1, math.ceil(distinct.count() / PER_TASK))
+    known = stored(classified(distinct.repartition(parts), model), "classified-paragraphs")
     return cued.join(known, "paragraph")
 
 
 def scanned(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     """One row per document: doc_id, family (of the likeliest confirmed paragraph, else null), families, probability, n_paragraphs."""
     found = licence_paragraphs(docs, model).where("family <> 'unknown'").groupBy("doc_id", "hash").agg(
-        F.max(F.struct("probability", "family")).alias("best"), F.array_sort(F.collect_set("family")).alias("families"), F.count("*").alias("n"),
+        F.max(F.struct("probability", "family")).alias("best"), F.array_sort(F.collect_set("family")).alias("families"), F.coalesce(F.sum(F.when(F.col("line"), F.col("n"))), F.sum("n")).alias("n"),
     )
     found = found.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "best", "families", "n")
     narrow = docs.select("doc_id", F.xxhash64("text").alias("hash"))

@@ -1,3 +1,7 @@
+import re
+import textwrap
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +37,51 @@ def test_scan(spark, docs, rows, empty, model):
     assert license_scan.scanned(empty, model).count() == 0
 
 
-def test_every_template_has_a_cue(spark):
-    rows = [(f, p) for f, ps in license_scan.TEMPLATES.items() for p in ps]
-    assert license_scan._sentences(spark, rows).where(~F.col("paragraph").rlike(license_scan.CUES)).count() == 0
+def plain_grams(p):
+    w = [m.group() for m in re.finditer(r"[^\W_]+(?:[.+'-][^\W_]+)*", p.lower())]
+    pairs = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    return list(dict.fromkeys(w + pairs)), set(pairs)
+
+
+def plain_class(p, model):
+    """The softmax and the comparison from their definitions, without the gate."""
+    known, pairs = plain_grams(p)
+    place = {g: i for i, g in enumerate(model._vector.vocabulary)}
+    x = np.zeros(len(place))
+    for g in known:
+        if g in place and not all(w in license_scan.COMMON for w in g.split(" ")):
+            x[place[g]] = 1
+    z = model._model.coefficientMatrix.toArray() @ x + model._model.interceptVector.toArray()
+    prob = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    family = model.families[int(prob.argmax())]
+    like = max((len(t & pairs) / max(1, min(len(t), len(pairs))) for f, text in license_scan.notices() if f == family for t in [plain_grams(text)[1]]), default=0.0)
+    sure = family != "unknown" and prob.max() >= model.threshold and like >= license_scan.SHARED
+    return family if sure else "unknown", prob.max()
+
+
+def test_brute_force(spark, rows, model):
+    """Whole texts with notices, wrapped licences, repeated lines, a very long text and ties, against a plain classifier that sees every line and block."""
+    grant = textwrap.fill(license_scan.TEMPLATES["mit"][5], 60)
+    texts = [(i, t) for i, t, *_ in rows[:12]] + [
+        (100, f"intro\n\n{grant}\n\noutro"), (101, "All rights reserved.\nAll rights reserved."), (102, "x y z " * 30000 + "\nLicensed under CC BY-NC 4.0."), (103, "Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0."),
+        (104, "My license expired.\nHe works at MIT on software.\nversion 2.0 of the game"), (105, None), (106, ""), (107, "// Licensed under the Apache License, Version 2.0\n// (the License); you may not use this file"),
+    ]
+    out = {r["doc_id"]: r for r in license_scan.scanned(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, t in texts:
+        t = t or ""
+        blocks = [b.strip(" ") for b in re.split(r"\n\s*\n", t)]
+        classes = lambda units: [c for c in (plain_class(u, model) for u in units if u.strip()) if c[0] != "unknown"]
+        lines, joined = classes(re.split(r"\r?\n", t)), classes(re.sub(r"\s*\n\s*", " ", b) for b in blocks if "\n" in b)
+        found = lines + joined
+        assert out[i]["n_paragraphs"] == len(lines or joined), (i, found)
+        assert out[i]["families"] == sorted({f for f, _ in found})
+        if found:
+            assert out[i]["family"] == max((round(p, 9), f) for f, p in found)[1] and abs(out[i]["probability"] - max(p for _, p in found)) < 1e-9
+    assert out[100]["family"] == "mit" and out[101]["n_paragraphs"] == 2 and out[107]["family"] == "apache"
+def test_the_gate_drops_nothing(spark, model):
+    """Whatever the gate leaves out, the model itself calls unknown; every notice passes it."""
+    assert model.gate
+    rows = license_scan.notices() + [("", w) for p in license_scan.UNKNOWN + license_scan.CALIBRATION for w in (p, *p.split())]
+    out = model.predicted(license_scan._sentences(spark, rows).where(~F.col("paragraph").rlike(model.gate))).collect()
+    assert out and {r["family"] for r in out} == {"unknown"}
+    assert license_scan._sentences(spark, license_scan.notices()).where(~F.col("paragraph").rlike(model.gate)).count() == 0
