@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm._store import table
+from blockwright.llm._store import fields, plain_names, table
 from blockwright.llm._words import released
 
 #: Pairs of tokens of either kind, tokens' edges, and steps of the automaton that are remembered.
@@ -263,7 +263,7 @@ def _loaded(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def _coded(path: str):
+def _coded(path: str, text: bool):
     def run(batches):
         bpe = _loaded(path)
         for b in batches:
@@ -276,9 +276,10 @@ def _coded(path: str):
                     size += len(part[-1])
                 ids = bpe.encode_batch(part)
                 rest = b.slice(at, len(part))
+                keep = [c for c in b.schema.names if text or c != "text"]
                 yield pa.RecordBatch.from_arrays(
-                    [*rest.columns, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(i) for i in ids], pa.string())],
-                    names=[*b.schema.names, "n_tokens", "ids", "decoded"],
+                    [*(rest.column(c) for c in keep), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(i) for i in ids], pa.string())],
+                    names=[*keep, "n_tokens", "ids", "decoded"],
                 )
                 at += len(part)
         bpe.before = {}
@@ -286,14 +287,14 @@ def _coded(path: str):
     return released(run)
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with n_tokens, ids (packed, little-endian unsigned 32-bit) and decoded, the text that the ids give.
+def encoded(docs: DataFrame, path: str, text: bool = True) -> DataFrame:
+    """``docs`` (without its text, if not ``text``) with n_tokens, ids (packed, little-endian unsigned 32-bit) and decoded, the text that the ids give.
 
     A map over rows; ``path`` names a tokenizer file that every executor can read.
     """
-    docs = docs.drop("n_tokens", "ids", "decoded")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_coded(path), f"{fields}, n_tokens long, ids binary, decoded string")
+    docs, named = plain_names(docs.drop("n_tokens", "ids", "decoded"))
+    kept = docs if text else docs.drop("text")
+    return named(docs.mapInArrow(_coded(path, text), f"{fields(kept)}{', ' if kept.columns else ''}n_tokens long, ids binary, decoded string"))
 
 
 def default_path() -> str:
@@ -303,5 +304,5 @@ def default_path() -> str:
 
 
 def op2_bpe(spark, sf_dir):
-    out = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), default_path())
+    out = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), default_path(), text=False)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

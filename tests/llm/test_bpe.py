@@ -44,6 +44,8 @@ def test_dataframe(docs, rows, empty, library, monkeypatch):
         want = library.encode(r["text"] or "", add_special_tokens=False).ids
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == want and r["n_tokens"] == len(want) and r["decoded"] == (r["text"] or "")
     assert bpe.encoded(empty, bpe.default_path()).count() == 0
+    bare = bpe.encoded(docs, bpe.default_path(), text=False)
+    assert bare.columns == [*(c for c in docs.columns if c != "text"), "n_tokens", "ids", "decoded"] and bare.count() == len(rows)
 
 
 def test_ascii_splits_alike():
