@@ -5,7 +5,7 @@ floor(rate) times plus once more if a hash-seeded Bernoulli draw falls below the
 
 Defined cases: null text has size 0 and is taken as often as any document; a null source is a source of its own and
 comes last; an empty table gives an empty table; rows equal in id and text share one draw; other columns pass through
-(the operator's own columns are replaced where a name clashes).
+(the plan's columns replace clashing ones; the mix itself returns all columns as they are).
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockwright.llm._store import stored, table
+from blockwright.llm._store import quoted, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source is repeated at most so often.
 MOST = 3
 SEED = "mix-1"
+#: Columns that stand beside the caller's on the way.
+_SOURCE, _ROW = "_mix_source", "_mix_row"
 
 
 def word_count(text: Column) -> Column:
@@ -61,9 +63,9 @@ def mix_plan(docs: DataFrame, weights: Column | None = None, most: int = MOST, s
     only while its file size allows that; beyond it the join is shuffled and hot sources are split at run time.
     """
     sized = docs.withColumn("size", word_count(F.col("text")))
-    per = stored(targets(sized.select("source", "size"), weights, most), "mix-targets").withColumnRenamed("source", "_source")
-    sized = sized.drop("source_size", "target", "rate", "copies", "taken")
-    joined = sized.join(per, sized["source"].eqNullSafe(per["_source"]), "left").drop("_source")
+    per = stored(targets(sized.select("source", "size"), weights, most), "mix-targets").withColumnRenamed("source", _SOURCE)
+    sized = sized.drop("source_size", "target", "rate", "copies", "taken", _SOURCE)
+    joined = sized.join(per, sized["source"].eqNullSafe(per[_SOURCE]), "left").drop(_SOURCE)
     whole = F.floor("rate")
     more = uniform(F.col("doc_id"), F.col("text"), seed) < F.col("rate") - whole
     joined = joined.withColumn("copies", (whole + more.cast("int")).cast("long"))
@@ -72,8 +74,10 @@ def mix_plan(docs: DataFrame, weights: Column | None = None, most: int = MOST, s
 
 def mixed(docs: DataFrame, weights: Column | None = None, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: the columns of ``docs``, each document as often as the plan takes it."""
-    plan = mix_plan(docs, weights, most, seed).where("copies > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    # The caller's columns travel as one, so that the plan's columns take none of their places.
+    packed = docs.select("doc_id", "source", "text", F.struct(*map(quoted, docs.columns)).alias(_ROW))
+    plan = mix_plan(packed, weights, most, seed).where("copies > 0")
+    return plan.select(_ROW, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(f"{_ROW}.*")
 
 
 def op1_mixing(spark, sf_dir):

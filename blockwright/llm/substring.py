@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm._store import stored, table
-from blockwright.llm._words import Words, mix, runs, slices, windows
+from blockwright.llm._store import plain_names, stored, table
+from blockwright.llm._words import Words, mix, released, runs, slices, windows
 
 LENGTH, LANDMARK = 35, 12
 #: The sketch: rows, cells a row (a power of two), and the ranges it is merged by.
 DEPTH, WIDTH, SEGMENTS = 3, 1 << 26, 256
 #: Cells that a task gathers before it hands them on.
 FLUSH = 1 << 21
+#: Columns that stand beside the caller's on the way.
+_KEY, _ONCE = "_substring_key", "_substring_once"
 _SALT = np.array([0x632BE59BD9B4E019, 0xD1342543DE82EF95, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -98,7 +100,7 @@ def _partial_sketch(length: int, width: int):
         if held:
             yield out(parts)
 
-    return run
+    return released(run)
 
 
 def _merged(width: int):
@@ -122,7 +124,7 @@ def _merged(width: int):
         if now is not None:
             yield out()
 
-    return run
+    return released(run)
 
 
 def repeated_bits(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> bytes:
@@ -152,7 +154,7 @@ def _candidates(shared, length: int, width: int):
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            key = b.column("key").to_numpy(zero_copy_only=False)
+            key = b.column(_KEY).to_numpy(zero_copy_only=False)
             for i, _, words in slices(b.column("text")):
                 at = _estimated(words, bits, length, width)
                 if not len(at):
@@ -163,7 +165,7 @@ def _candidates(shared, length: int, width: int):
                 doc = words.doc[at]
                 yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(key[i + doc]), pa.array((at - words.first[doc]).astype(np.int32))], names=["window", "key", "start"])
 
-    return run
+    return released(run)
 
 
 def _removed(shared, length: int, width: int, spaced: bool):
@@ -173,7 +175,7 @@ def _removed(shared, length: int, width: int, spaced: bool):
         bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             texts = b.column("text")
-            once = b.column("once")
+            once = b.column(_ONCE)
             n_words, n_removed, kept = [], [], []
             for i, j, words in slices(texts):
                 at = _estimated(words, bits, length, width)
@@ -202,11 +204,11 @@ def _removed(shared, length: int, width: int, spaced: bool):
                     else:
                         own = raw.split()  # on the same six bytes
                         kept.append(b" ".join(own if not n else [w for w, d in zip(own, drop, strict=True) if not d]).decode())
-            names = [c for c in b.schema.names if c not in ("once", "key", "text")]
+            names = [c for c in b.schema.names if c not in (_ONCE, _KEY, "text")]
             columns = [b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names, "text", "n_words", "n_removed"])
 
-    return run
+    return released(run)
 
 
 def substring_deduped(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, spaced: bool = True) -> DataFrame:
@@ -215,19 +217,19 @@ def substring_deduped(docs: DataFrame, length: int = LENGTH, width: int = WIDTH,
     ``spaced`` keeps the white space after each kept word; otherwise kept words are joined by one space.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_removed", "key", "once")
+    docs, named = plain_names(docs.drop("n_words", "n_removed", _KEY, _ONCE))
     bits = spark.sparkContext.broadcast(repeated_bits(docs, length, width))
-    keyed = docs.withColumn("key", F.xxhash64("text"))
-    found = keyed.where("text is not null").select("key", "text").mapInArrow(_candidates(bits, length, width), "window long, key long, start int")
+    keyed = docs.withColumn(_KEY, F.xxhash64("text"))
+    found = keyed.where("text is not null").select(_KEY, "text").mapInArrow(_candidates(bits, length, width), "window long, key long, start int")
     exact = found.groupBy("window").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("start").alias("start"))
     once = stored(exact.where("n = 1").select("key", "start"), "substring-once")
-    per_text = once.groupBy("key").agg(F.collect_list("start").alias("once"))  # as long as a text at most
-    joined = keyed.join(per_text, "key", "left")
+    per_text = once.groupBy(F.col("key").alias(_KEY)).agg(F.collect_list("start").alias(_ONCE))  # as long as a text at most
+    joined = keyed.join(per_text, _KEY, "left")
     kinds = dict((f.name, f.dataType.simpleString()) for f in docs.schema.fields)
-    names = [c for c in joined.columns if c not in ("once", "key", "text")]
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "text string", "n_words long", "n_removed long"])
+    names = [c for c in joined.columns if c not in (_ONCE, _KEY, "text")]
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in names), "text string", "n_words long", "n_removed long"])
     out = joined.mapInArrow(_removed(bits, length, width, spaced), schema)
-    return out.select(*docs.columns, "n_words", "n_removed")
+    return named(out.select(*docs.columns, "n_words", "n_removed"))
 
 
 def op10_substring_dedup(spark, sf_dir):

@@ -68,3 +68,10 @@ def test_empty_clash_and_sql(spark, docs, empty, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = Counter(con.sql(mixing.OP1_SQL).fetchall())
     assert Counter(map(tuple, mixing.op1_mixing(spark, str(tmp_path)).collect())) == want
+
+
+def test_private_names(docs):
+    """The mix gives the caller's columns back as they are, whatever their names."""
+    clash = docs.withColumn("_copy", F.lit("a")).withColumn("_source", F.lit("b")).withColumn("rate", F.lit("c")).withColumn("a b.c", F.lit("d"))
+    out = mixing.mixed(clash)
+    assert out.columns == clash.columns and out.where("_copy = 'a' and _source = 'b' and rate = 'c' and `a b.c` = 'd'").count() == mixing.mixed(docs).count()

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -51,3 +52,17 @@ def test_run(spark, folder):
 def test_empty(spark, empty, folder):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_further_columns(spark, docs, folder):
+    """Columns that documents does not have pass all stages but the last, whatever their names."""
+    more = {"score": "s", "predicted": "p", "key": "k", "once": "o", "n_words": "n", "_own": "w", "rate": "r", "copies": "c", "a b.c": "d"}
+    now = docs
+    for name, value in more.items():
+        now = now.withColumn(name, F.lit(value))
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.stored(stage(spark, now, folder), name)
+        assert now.columns == columns
+    rows = now.collect()
+    assert rows and all(r[n] == v for r in rows for n, v in more.items())

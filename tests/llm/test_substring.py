@@ -53,5 +53,7 @@ def test_landmarks_agree():
 
 def test_edges(empty, docs, rows):
     assert substring.substring_deduped(empty).count() == 0
-    out = substring.substring_deduped(docs.withColumn("key", F.lit("x")).withColumn("n_words", F.lit("y")))
+    more = docs.withColumn("key", F.lit("x")).withColumn("once", F.lit("z")).withColumn("a b.c", F.lit("w"))
+    out = substring.substring_deduped(more.withColumn("n_words", F.lit("y")))
+    assert out.columns == [*more.columns, "n_words", "n_removed"] and out.where("key = 'x' and once = 'z' and `a b.c` = 'w'").count() == len(rows)
     assert out.count() == len(rows) and out.where("text is null").count() == sum(r[1] is None for r in rows)
