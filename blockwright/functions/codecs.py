@@ -44,27 +44,44 @@ def unpack(data: bytes, count: int, width: int) -> np.ndarray:
 
 
 class BitReader:
+    """Reads fields from the least significant bit on; a field costs one slice of bytes, whatever its width."""
+
     def __init__(self, data: bytes):
-        self.bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").tolist()
-        self.at = 0
+        self.data, self.at, self.end = data, 0, 8 * len(data)
 
     def read(self, n: int) -> int:
-        if self.at + n > len(self.bits):
+        if self.at + n > self.end:
             raise ValueError("truncated bit stream")
-        out = 0
-        for k in range(n):
-            out |= self.bits[self.at + k] << k
+        first = self.at >> 3
+        out = int.from_bytes(self.data[first : first + (n + 14 >> 3)], "little") >> (self.at & 7) & (1 << n) - 1
         self.at += n
         return out
 
     def gamma(self) -> int:
-        zeros = 0
-        while not self.read(1):
-            zeros += 1
-            if zeros > 64:
-                raise ValueError("damaged gamma code")
+        first = self.at >> 3
+        ahead = int.from_bytes(self.data[first : first + 10], "little") >> (self.at & 7)
+        if not ahead:
+            raise ValueError("damaged gamma code" if self.at + 72 <= self.end else "truncated bit stream")
+        zeros = (ahead & -ahead).bit_length() - 1
+        if zeros > 64:
+            raise ValueError("damaged gamma code")
+        self.at += zeros + 1
         return (1 << zeros | self.read(zeros)) - 1
 
+    def fields(self, count: int, width: int) -> np.ndarray:
+        """``count`` fields of one width."""
+        if self.at + count * width > self.end:
+            raise ValueError("truncated bit stream")
+        first, last = self.at >> 3, self.at + count * width + 7 >> 3
+        bits = np.unpackbits(np.frombuffer(self.data[first:last], np.uint8), bitorder="little")[self.at & 7 :][: count * width]
+        self.at += count * width
+        return unpack(np.packbits(bits, bitorder="little").tobytes(), count, width)
+
+    def finish(self) -> None:
+        """Nothing but the filling of the last byte may be left, and that is zero."""
+        if self.end - self.at >= 8 or self.read(self.end - self.at):
+            raise ValueError("bytes after the end of the stream")
+
 
 def _gamma_fields(v: int) -> tuple[int, int, int, int]:
     """(value, width) of the unary part and of the rest."""
@@ -525,7 +542,14 @@ BYTES = {
 
 
 def encode_plan(data: bytes, label: str) -> bytes:
-    """Transforms, then the codec, then the entropy coder that a plan's label names; the inner length stands before an entropy coder."""
+    """Transforms, then the codec, then the entropy coder that a plan's label names; the inner length stands before an entropy coder.
+
+    Labels without an entropy coder may also name a layout of fixed-width lanes (``fixed.LAYOUTS``).
+    """
+    from blockwright.functions.fixed import LAYOUTS
+
+    if label in LAYOUTS:
+        return LAYOUTS[label][0](data)
     parts = label.split("+")
     if parts[0] == "delta":
         data, parts = delta_encode(data), parts[1:]
@@ -534,6 +558,10 @@ def encode_plan(data: bytes, label: str) -> bytes:
 
 
 def decode_plan(data: bytes, label: str, size: int) -> bytes:
+    from blockwright.functions.fixed import LAYOUTS
+
+    if label in LAYOUTS:
+        return _sized(LAYOUTS[label][1](data), size)
     parts = label.split("+")
     delta = parts[0] == "delta"
     parts = parts[delta:]

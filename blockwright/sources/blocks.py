@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockwright.functions import codecs
+from blockwright.plans import blockplan
 
 BLOCK_SIZE = 256 * 1024
 SCHEMA = "file_id string, block_id long, original_offset long, original_size int, label string, crc long, payload binary"
@@ -35,7 +36,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, label in zip(b.column("data"), b.column("label").to_pylist(), strict=True):
             raw = data.as_py()
             out = codecs.encode_plan(raw, label)
-            if len(out) >= len(raw):  # the raw layout costs no more
+            if len(out) + blockplan.MIN_GAIN >= len(raw):  # the raw layout costs about the same and decodes at once
                 label, out = "raw", raw
             labels.append(label)
             crc.append(codecs.crc32c(raw))
@@ -49,29 +50,44 @@ def encode(blocks: DataFrame) -> DataFrame:
     return blocks.select("file_id", "block_id", "original_offset", "original_size", "data", "label").mapInArrow(_encode, SCHEMA)
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data, error = [], []
-        for payload, label, size, crc in zip(b.column("payload"), b.column("label").to_pylist(), b.column("original_size").to_pylist(), b.column("crc").to_pylist(), strict=True):
-            try:
-                out = codecs.decode_plan(payload.as_py(), label, size)
-                bad = None if codecs.crc32c(out) == crc else "checksum"
-            except (ValueError, KeyError, IndexError, codecs.struct.error) as e:
-                out, bad = None, str(e) or type(e).__name__
-            data.append(None if bad else out)
-            error.append(bad)
-        keep = ["file_id", "block_id", "original_offset", "original_size"]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(data, pa.binary()), pa.array(error, pa.string())], names=[*keep, "data", "error"])
+def _decode(dictionaries: dict[int, bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, error = [], []
+            for payload, label, size, crc in zip(b.column("payload"), b.column("label").to_pylist(), b.column("original_size").to_pylist(), b.column("crc").to_pylist(), strict=True):
+                try:
+                    raw = payload.as_py()
+                    out = blockplan.decode(raw, label, size, _named(raw, label, dictionaries))
+                    bad = None if codecs.crc32c(out) == crc else "checksum"
+                except (ValueError, KeyError, IndexError, codecs.struct.error) as e:
+                    out, bad = None, str(e) or type(e).__name__
+                data.append(None if bad else out)
+                error.append(bad)
+            keep = ["file_id", "block_id", "original_offset", "original_size"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(data, pa.binary()), pa.array(error, pa.string())], names=[*keep, "data", "error"])
+
+    return run
+
+
+def _named(payload: bytes, label: str, dictionaries: dict[int, bytes]) -> bytes:
+    """The dictionary that a block asks for; blocks inside a container share the only one there is."""
+    if label.startswith("dict"):
+        name = int.from_bytes(payload[:8], "little")
+        if name not in dictionaries:
+            raise ValueError(f"dictionary {name} missing")
+        return dictionaries[name]
+    return next(iter(dictionaries.values()), b"") if label == "seg" else b""
 
 
-def decode(stored: DataFrame) -> DataFrame:
-    """Stored blocks to data; a damaged block has a null and an error, and does not stop the others."""
-    return stored.mapInArrow(_decode, "file_id string, block_id long, original_offset long, original_size int, data binary, error string")
+def decode(stored: DataFrame, dictionaries: dict[int, bytes] | None = None) -> DataFrame:
+    """Stored blocks to data; a damaged block has a null and an error, and does not stop the others. ``dictionaries`` by id: few and small."""
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    return stored.select(*columns).mapInArrow(_decode(dictionaries or {}), "file_id string, block_id long, original_offset long, original_size int, data binary, error string")
 
 
-def verify(stored: DataFrame) -> DataFrame:
+def verify(stored: DataFrame, dictionaries: dict[int, bytes] | None = None) -> DataFrame:
     """One row per file: blocks, damaged blocks, whether ids run from 0 without a gap, decoded bytes."""
-    d = decode(stored)
+    d = decode(stored, dictionaries)
     return d.groupBy("file_id").agg(
         F.count("*").alias("blocks"), F.count_if(F.col("error").isNotNull()).alias("damaged"),
         ((F.min("block_id") == 0) & (F.max("block_id") + 1 == F.count("*")) & (F.countDistinct("block_id") == F.count("*"))).alias("complete"), F.sum(F.octet_length("data")).alias("bytes"),
@@ -93,12 +109,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def read_range(stored: DataFrame, file_id: str, first: int, last: int) -> DataFrame:
+def read_range(stored: DataFrame, file_id: str, first: int, last: int, dictionaries: dict[int, bytes] | None = None) -> DataFrame:
     """The bytes [first, last) of a file, by block: only blocks that touch the range are read and decoded."""
     if not 0 <= first <= last:
         raise ValueError(f"range {first}..{last}")
     hit = stored.where((F.col("file_id") == file_id) & (F.col("original_offset") < last) & (F.col("original_offset") + F.col("original_size") > first))
-    d = decode(hit)
+    d = decode(hit, dictionaries)
     a = F.greatest(F.lit(first) - F.col("original_offset"), F.lit(0))
     z = F.least(F.lit(last) - F.col("original_offset"), F.col("original_size").cast("long"))
     return d.select("file_id", "block_id", (F.col("original_offset") + a).alias("offset"), F.expr("data").substr((a + 1).cast("int"), (z - a).cast("int")).alias("data"), "error")
@@ -134,8 +150,9 @@ def lane_payloads(rows: DataFrame, codec: str, size: int) -> DataFrame:
             out = codecs.gorilla_encode(v)
             back = codecs.gorilla_decode(out)
         elif codec == "alp":
-            out = codecs.alp_encode(v, 14, 12)
-            back = codecs.alp_decode(out)
+            raw = v.astype("<f8").tobytes()
+            out = codecs.encode_plan(raw, "alp8")
+            back = np.frombuffer(codecs.decode_plan(out, "alp8", len(raw)), "<f8")
         else:
             raw = v.astype(np.uint8).tobytes()
             out = codecs.encode_plan(raw, codec)

@@ -138,3 +138,16 @@ def read_lanes(blocks: DataFrame, width: int) -> DataFrame:
     return blocks.select("key", "data").mapInArrow(run, f"key {dict(blocks.dtypes)['key']}, pos long, v long")
 
 
+def write_lanes(rows: DataFrame, width: int) -> DataFrame:
+    """(block_id, data): the values of each block of a lane (block_id, pos, v) in order, little-endian at ``width`` bytes;
+    integers wrap, doubles are their bits at 8 and floats at 4 bytes."""
+    real = dict(rows.dtypes)["v"] in ("double", "float")
+    if width not in ((4, 8) if real else (1, 2, 4, 8)):
+        raise ValueError(f"width {width}")
+
+    def run(t: pa.Table) -> pa.Table:
+        v = t.sort_by("pos").column("v").to_numpy()
+        data = v.astype(f"<f{width}") if real else v.astype("<i8").view("<u8").astype(f"<u{width}")
+        return pa.table({"block_id": [t.column("block_id")[0].as_py()], "data": pa.array([data.tobytes()], pa.binary())})
+
+    return rows.groupBy("block_id").applyInArrow(run, f"block_id {dict(rows.dtypes)['block_id']}, data binary")

@@ -28,7 +28,13 @@ def encode_stream(spark: SparkSession, source: str, schema: str, out: str, check
     return done["n"]
 
 
-def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """Counts and sums of events by type and event-time window, late ones dropped past the watermark."""
+def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts and sums of events by type and event-time window (sliding by ``slide``, else tumbling), late ones dropped past the watermark."""
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withWatermark("ts", late).groupBy(F.window("ts", window, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def session_counts(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
+    """The same by sessions: a session of a type ends when nothing comes for ``gap``."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
