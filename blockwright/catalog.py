@@ -59,6 +59,10 @@ def _bytes(s, d):
     return lanes.byte_lane(spread(_table(s, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
+def _texts(s, d):
+    return spread(_table(s, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("block_id"), F.encode("text", "UTF-8").alias("data"))
+
+
 def _byte_blocks(s, d):
     return lanes.byte_blocks(spread(_table(s, d, "documents").select("doc_id", "text")), "doc_id", text="text")
 
@@ -200,8 +204,10 @@ def lane_runs(s, d):
 
 REPETITION = """q AS (SELECT block_id, pos, v + 256 * lead(v, 1) OVER w + 65536 * lead(v, 2) OVER w + 16777216 * lead(v, 3) OVER w AS word FROM l WINDOW w AS (PARTITION BY block_id ORDER BY pos)),
 q1 AS (SELECT *, (((word::HUGEINT * 2654435761) % 4294967296) // 1048576) % 4096 AS slot FROM q WHERE pos % 16 = 0 AND word IS NOT NULL),
-q2 AS (SELECT block_id, coalesce(lag(word) OVER (PARTITION BY block_id, slot ORDER BY pos) = word, false) AS hit FROM q1),
-rep AS (SELECT block_id, count(*) AS probes, count(*) FILTER (hit) AS hits FROM q2 GROUP BY block_id)"""
+q2 AS (SELECT block_id, pos, lag(pos) OVER (PARTITION BY block_id, slot ORDER BY pos) AS prev, coalesce(lag(word) OVER (PARTITION BY block_id, slot ORDER BY pos) = word, false) AS hit FROM q1),
+q3 AS (SELECT q2.block_id, h, pos, prev, least(64, length(h) // 2 - pos, pos - prev) AS room FROM q2 JOIN h USING (block_id) WHERE hit),
+q4 AS (SELECT block_id, sum(coalesce(list_min(list_filter(range(4, room), lambda k: substr(h, (2 * (pos + k) + 1)::INT, 2) <> substr(h, (2 * (prev + k) + 1)::INT, 2))), room))::BIGINT AS matched FROM q3 GROUP BY block_id),
+rep AS (SELECT block_id, probes, hits, coalesce(matched, 0) AS matched FROM (SELECT block_id, count(*) AS probes, count(*) FILTER (hit) AS hits FROM q2 GROUP BY block_id) LEFT JOIN q4 USING (block_id))"""
 
 
 @_query("repetition_hits", f"WITH {BYTES}, {REPETITION} SELECT block_id, probes, hits FROM rep")
@@ -216,15 +222,16 @@ basic AS (SELECT block_id, sum(n)::BIGINT AS size, count(*) AS unique_bytes, coa
 e0 AS ({H0.format('c', 'h0')}), e1 AS ({H0.format('cd', 'h_delta')}), {RUNS},
 rs AS (SELECT block_id, count(*) FILTER (length >= 4) AS runs, coalesce(sum(length) FILTER (length >= 4), 0)::BIGINT AS run_bytes, max(length) AS longest FROM r GROUP BY block_id),
 {REPETITION},
-p0 AS (SELECT block_id, size, h0, round(zeros / size, 6) AS zero_ratio, unique_bytes, runs, longest, round(run_bytes / size, 6) AS run_score,
-       round(greatest(h0 - h_delta, 0.0) / 8, 6) AS delta_score, round(coalesce(hits / probes, 0.0), 6) AS repetition
-       FROM basic JOIN e0 USING (block_id) JOIN e1 USING (block_id) JOIN rs USING (block_id) LEFT JOIN rep USING (block_id)),
+p0 AS (SELECT block_id, size, h0, coalesce(h1, 0.0) AS h1, round(zeros / size, 6) AS zero_ratio, unique_bytes, runs, longest, round(run_bytes / size, 6) AS run_score,
+       round(greatest(h0 - h_delta, 0.0) / 8, 6) AS delta_score, round(coalesce(hits / probes, 0.0), 6) AS repetition,
+       round(CASE WHEN coalesce(hits, 0) > 0 THEN matched / hits ELSE 0.0 END, 6) AS match_length
+       FROM basic JOIN e0 USING (block_id) JOIN e1 USING (block_id) JOIN rs USING (block_id) LEFT JOIN rep USING (block_id) LEFT JOIN ({ORACLE_SQL["entropy_h1"]}) USING (block_id)),
 prof AS (SELECT *, round(least(greatest(0.72::DOUBLE * h0 / 8 + 0.28::DOUBLE * (1 - greatest(run_score, delta_score, repetition)), 0.0), 1.0), 4) AS incompressibility FROM p0)"""
 
 
 @_query("block_profile", f"WITH {PROFILE} SELECT * FROM prof")
 def block_profile(s, d):
-    return profile.block_profile(_byte_blocks(s, d))
+    return profile.block_profile(_texts(s, d))
 
 
 def _prefilter_sql(lane: str) -> str:
@@ -285,11 +292,11 @@ def run_prefilter(s, d):
     return profile.run_profile(_users(s, d))
 
 
-@_query("float_profile", f"""WITH {VALUES}, {WINDOWS}, f AS (SELECT *, CASE WHEN isnan(v) OR isinf(v) THEN 2047 WHEN abs(v) < 2.2250738585072014e-308 THEN 0 ELSE floor(log2(abs(v))) + 1023 END AS exponent FROM z5),
+@_query("float_profile", f"""WITH {VALUES}, {WINDOWS}, f AS (SELECT *, CASE WHEN isnan(v) OR isinf(v) THEN 2047 WHEN abs(v) < 2.2250738585072014e-308 THEN 0 ELSE floor(log2(abs(v))) + 1023 END AS exponent, xor(v::BIT, prev::BIT)::VARCHAR AS x FROM z5),
 t AS (SELECT block_id, max(n) AS n, {_share('exponent = 2047')} AS non_finite, {_share('v = 0')} AS zero, {_share('exponent = 0 AND v <> 0')} AS subnormal, count(DISTINCT exponent) AS exponents,
-{_share('exponent BETWEEN 1 AND 2046 AND abs(exponent - 1023) > 200')} AS implausible, coalesce({_share('v = prev')}, 0.0) AS xor_zero, coalesce({_share('(v < 0) <> (prev < 0)')}, 0.0) AS sign_changes FROM f GROUP BY block_id)
-SELECT block_id, n, round(non_finite, 6) AS non_finite, round(zero, 6) AS zero, round(subnormal, 6) AS subnormal, round(implausible, 6) AS implausible, round(xor_zero, 6) AS xor_zero, round(sign_changes, 6) AS sign_changes, exponents,
-CASE WHEN n < 64 THEN 'too-short' WHEN non_finite > 0.05 THEN 'non-finite' WHEN zero > 0.25 THEN 'zero-dominated' WHEN subnormal > 0.05 THEN 'subnormal' WHEN exponents > 16 THEN 'exponent-spread' WHEN implausible > 0.05 THEN 'implausible-magnitude' ELSE 'admitted' END AS verdict FROM t""")
+{_share('exponent BETWEEN 1 AND 2046 AND abs(exponent - 1023) > 200')} AS implausible, coalesce({_share("rtrim(x, '0') = ''")}, 0.0) AS xor_zero, coalesce({_share("x[1] = '1'")}, 0.0) AS sign_changes, coalesce(avg(length(trim(x, '0'))) FILTER (trim(x, '0') <> ''), 0.0) AS xor_bits FROM f GROUP BY block_id)
+SELECT block_id, n, round(non_finite, 6) AS non_finite, round(zero, 6) AS zero, round(subnormal, 6) AS subnormal, round(implausible, 6) AS implausible, round(xor_zero, 6) AS xor_zero, round(xor_bits, 6) AS xor_bits, round(sign_changes, 6) AS sign_changes, exponents,
+CASE WHEN n < 64 THEN 'too-short' WHEN non_finite > 0.05 THEN 'non-finite' WHEN zero > 0.25 THEN 'zero-dominated' WHEN subnormal > 0.05 THEN 'subnormal' WHEN exponents > 16 THEN 'exponent-spread' WHEN implausible > 0.05 THEN 'implausible-magnitude' WHEN xor_bits > 48 THEN 'noisy-mantissa' ELSE 'admitted' END AS verdict FROM t""")
 def float_profile(s, d):
     return profile.float_profile(_values(s, d))
 
@@ -323,10 +330,21 @@ def huffman_bound(s, d):
     return estimate.huffman_bound(_bytes(s, d))
 
 
-@_query("alp_params_grid", f"""WITH {VALUES}, g AS (SELECT e, f FROM range(0, 19) a(e), range(0, 19) b(f) WHERE f <= e),
-x AS (SELECT block_id, e, f, v, round(v * ('1e' || e)::DOUBLE * (1.0::DOUBLE / ('1e' || f)::DOUBLE)) AS q FROM l, g),
-y AS (SELECT block_id, e, f, count(*) AS n, count(*) FILTER (NOT coalesce(q * ('1e' || f)::DOUBLE * (1.0::DOUBLE / ('1e' || e)::DOUBLE) = v, false) OR abs(q) >= 9.0e15) AS exceptions FROM x GROUP BY ALL)
-SELECT block_id, n, e::INT AS e, f::INT AS f, exceptions FROM y QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY exceptions, e DESC, f DESC) = 1""")
+ALP = f"""{VALUES}, li AS (SELECT block_id, v, row_number() OVER (PARTITION BY block_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY block_id) AS n FROM l),
+smp AS (SELECT * FROM li WHERE n <= 64 OR i - (n - 16) * 0 // 3 BETWEEN 0 AND 15 OR i - (n - 16) * 1 // 3 BETWEEN 0 AND 15 OR i - (n - 16) * 2 // 3 BETWEEN 0 AND 15 OR i - (n - 16) BETWEEN 0 AND 15),
+g AS (SELECT e, f FROM range(0, 19) a(e), range(0, 19) b(f) WHERE f <= e),
+x AS (SELECT block_id, e, f, v, round(v * ('1e' || e)::DOUBLE * (1.0::DOUBLE / ('1e' || f)::DOUBLE)) AS q, v * ('1e' || e)::DOUBLE * (1.0::DOUBLE / ('1e' || f)::DOUBLE) AS x FROM smp, g),
+xo AS (SELECT *, coalesce(q * ('1e' || f)::DOUBLE * (1.0::DOUBLE / ('1e' || e)::DOUBLE) = v, false) AND abs(x) < 9007199254740992.0 AS kept FROM x),
+y AS (SELECT block_id, e, f, count(*) FILTER (NOT kept) * 72 + count(*) * CASE WHEN count(*) FILTER (kept) = 0 THEN 0 ELSE {_bw("(max(CASE WHEN kept THEN q::BIGINT END) - min(CASE WHEN kept THEN q::BIGINT END))")} END AS cost FROM xo GROUP BY ALL),
+best AS (SELECT block_id, e, f FROM y QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY cost, e, f) = 1),
+bx AS (SELECT li.block_id, n, i, e, f, v, v * ('1e' || e)::DOUBLE * (1.0::DOUBLE / ('1e' || f)::DOUBLE) AS x FROM li JOIN best USING (block_id)),
+bk AS (SELECT *, round(x) AS q, coalesce(round(x) * ('1e' || f)::DOUBLE * (1.0::DOUBLE / ('1e' || e)::DOUBLE) = v, false) AND abs(x) < 9007199254740992.0 AS kept FROM bx),
+gaps AS (SELECT block_id, sum(2 * {_bw("(i - prev)")} - 1)::BIGINT AS bits FROM (SELECT block_id, i, coalesce(lag(i) OVER (PARTITION BY block_id ORDER BY i), -1) AS prev FROM bk WHERE NOT kept) GROUP BY block_id),
+al AS (SELECT block_id, any_value(n) AS n, any_value(e)::INT AS e, any_value(f)::INT AS f, count(*) FILTER (NOT kept) AS exceptions, coalesce({_bw("(max(CASE WHEN kept THEN q::BIGINT END) - min(CASE WHEN kept THEN q::BIGINT END))")}, 0) AS width FROM bk GROUP BY block_id),
+alp AS (SELECT block_id, n, e, f, exceptions, (28 + ceil((81 + 2 * {_bw("(exceptions + 1)")} - 1 + coalesce(bits, 0) + exceptions * 64 + n * width) / 8.0))::BIGINT AS bytes FROM al LEFT JOIN gaps USING (block_id))"""
+
+
+@_query("alp_params_grid", f"WITH {ALP} SELECT * FROM alp")
 def alp_params_grid(s, d):
     return estimate.alp_parameters(_values(s, d))
 
@@ -343,17 +361,19 @@ COSTS = f"""{PROFILE}, {PLANS}, x AS (SELECT prof.*, plans.*, {_clamp('h0 / 8',
 est AS (SELECT block_id, size, plan, label, codec, entropy, transform, lz,
   greatest(round(round(size * CASE WHEN transform = 'delta' THEN 1 - 0.55::DOUBLE * {_clamp('delta_score', 0.0, 0.85)} ELSE 1.0 END
     * CASE WHEN codec = 'rle' THEN {_clamp('1 - 0.9::DOUBLE * greatest(run_score, zero_ratio)', 0.015, 1.05)} ELSE 1.0 END
-    * CASE WHEN codec = 'lz' THEN {_clamp("1 - repetition * CASE WHEN lz = 'balanced' THEN 0.72::DOUBLE ELSE 0.62::DOUBLE END", 0.05, 1.04)} ELSE 1.0 END
+    * CASE WHEN codec = 'lz' THEN {_clamp("1 - greatest(repetition, least(match_length / 48, 1.0::DOUBLE)) * CASE WHEN lz = 'balanced' THEN 0.72::DOUBLE ELSE 0.62::DOUBLE END", 0.05, 1.04)} ELSE 1.0 END
     * CASE entropy WHEN 'none' THEN 1.0::DOUBLE WHEN 'huffman' THEN {_clamp('0.04::DOUBLE + 0.96::DOUBLE * h', 0.04, 1.03)} ELSE {_clamp('0.025::DOUBLE + 0.94::DOUBLE * h', 0.03, 1.02)} END, 3)), 1.0)::BIGINT
     + CASE entropy WHEN 'none' THEN 0 WHEN 'huffman' THEN 260 WHEN 'rans' THEN 516 ELSE 2064 END AS estimate,
   (CASE WHEN codec = 'raw' THEN 1 WHEN codec = 'rle' THEN 2 WHEN lz = 'fast' THEN 4 ELSE 9 END + CASE entropy WHEN 'none' THEN 0 WHEN 'huffman' THEN 4 WHEN 'rans' THEN 9 ELSE 5 END + CASE WHEN transform = 'delta' THEN 1 ELSE 0 END)::BIGINT AS encode,
   (CASE WHEN codec = 'raw' THEN 1 WHEN codec = 'rle' THEN 2 ELSE 3 END + CASE entropy WHEN 'none' THEN 0 WHEN 'huffman' THEN 6 WHEN 'rans' THEN 5 ELSE 3 END + CASE WHEN transform = 'delta' THEN 1 ELSE 0 END)::BIGINT AS decode,
-  size * CASE WHEN codec = 'lz' THEN 3 ELSE 2 END AS memory FROM x),
+  size * CASE WHEN codec = 'lz' THEN 3 ELSE 2 END AS memory,
+  round(greatest(0.78::DOUBLE, CASE WHEN transform = 'delta' THEN least(0.60::DOUBLE + 0.35::DOUBLE * delta_score, 0.98::DOUBLE) ELSE 0.0 END, CASE codec WHEN 'rle' THEN least(0.62::DOUBLE + 0.36::DOUBLE * greatest(run_score, zero_ratio), 0.99::DOUBLE)
+    WHEN 'lz' THEN least(0.54::DOUBLE + 0.34::DOUBLE * greatest(repetition, least(match_length / 48, 1.0::DOUBLE)), 0.94::DOUBLE) ELSE 0.0 END), 6) AS confidence FROM x),
 sc AS (SELECT *, (estimate * 1000000 // greatest(size, 1)) * 60 + encode * 3500 * 18 + decode * 1300 * 17 + (memory * 1000 // greatest(size, 1)) * 5 AS score FROM est)"""
 
 
 def _scores(s, d):
-    return planner.scored(planner.estimated(profile.block_profile(_byte_blocks(s, d)), planner.candidates(s)))
+    return planner.scored(planner.estimated(profile.block_profile(_texts(s, d)), planner.candidates(s)))
 
 
 @_query("candidate_costs", f"WITH {COSTS} SELECT block_id, plan, label, estimate, encode, decode, memory, score::BIGINT AS score FROM sc")
@@ -401,7 +421,7 @@ def explain_plans(s, d):
 
 @_query("data_class", f"WITH {PROFILE} SELECT block_id, CASE WHEN zero_ratio >= 0.985 OR run_score >= 0.92 THEN 'zero-heavy' WHEN incompressibility >= 0.96 AND repetition < 0.01 AND run_score < 0.01 THEN 'incompressible' WHEN delta_score >= 0.08 THEN 'numeric' ELSE 'structured' END AS data_class FROM prof")
 def data_class(s, d):
-    return planner.data_class(profile.block_profile(_byte_blocks(s, d)))
+    return planner.data_class(profile.block_profile(_texts(s, d)))
 
 
 def _route_sql(lane: str) -> str:
@@ -572,11 +592,64 @@ _codec_query("codec_num1_dod", _times, "num1_3", 2048, f"WITH {TIMES}, {MODES} S
 _codec_query("codec_patched", _customers, "patched", 2048, f"SELECT block_id, n, bytes, true AS ok FROM ({ORACLE_SQL['patched_for_plan']})")
 _codec_query("codec_run_delta", _users, "run_delta", 2048, f"SELECT block_id, n, bytes, true AS ok FROM ({ORACLE_SQL['run_delta_size']})")
 _codec_query("codec_rle", _kinds, "rle", 2048, f"SELECT block_id, least(2048, (SELECT count(*) FROM events) - 2048 * block_id)::BIGINT AS n, bytes, true AS ok FROM ({ORACLE_SQL['rle_size']})")
-_codec_query("codec_gorilla", _values, "gorilla", 2048)
-_codec_query("codec_alp", _values, "alp", 2048)
-_codec_query("codec_lz", _kinds, "lz_balanced+huffman", 2048)
-_codec_query("codec_delta_rans", _kinds, "delta+raw+rans", 2048)
-_codec_query("codec_rans4x", _kinds, "raw+rans4x", 2048)
+_codec_query("codec_alp", _values, "alp", 2048, f"WITH {ALP} SELECT block_id, n, bytes, true AS ok FROM alp")
+
+
+def _trip_query(name, lane, codec, table):
+    """Sizes of these layouts have no closed form; every block must come back."""
+    from blockwright.sources import blocks
+
+    sql = f"WITH {table} SELECT block_id, count(*) AS n, true AS ok FROM l GROUP BY block_id"
+    _query(name, sql)(lambda s, d: blocks.lane_payloads(lane(s, d), codec, 2048).select("block_id", "n", "ok"))
+
+
+_trip_query("codec_gorilla", _values, "gorilla", VALUES)
+_trip_query("codec_lz", _kinds, "lz_balanced+huffman", KINDS)
+_trip_query("codec_delta_rans", _kinds, "delta+raw+rans", KINDS)
+_trip_query("codec_rans4x", _kinds, "raw+rans4x", KINDS)
+
+
+def _engine_blocks(rows, width, profile="balanced"):
+    """A lane as files of one block each, through the engine: block_id, label, route, original and stored bytes, and whether the block came back."""
+    from blockwright.engine import Config, Engine
+    from blockwright.sources import records
+
+    files = records.write_lanes(rows, width).select(F.col("block_id").cast("string").alias("file_id"), "data")
+    engine = Engine(Config(block_size=1 << 20, profile=profile))
+    stored = engine.compress_with_stats(files)
+    back = engine.verify(stored).select("file_id", (F.col("complete") & (F.col("damaged") == 0)).alias("ok"))
+    out = stored.select("file_id", "label", "route", F.col("original_size").cast("long").alias("raw"), F.octet_length("payload").cast("long").alias("bytes"))
+    return out.join(back, "file_id").select(F.col("file_id").cast("long").alias("block_id"), "label", "route", "raw", "bytes", "ok")
+
+
+@_query("engine_fixed_step", f"""WITH {KEYS}, {D}, t AS (SELECT block_id, count(*) AS n, min(d) AS lo, max(d) AS hi FROM d GROUP BY block_id)
+SELECT block_id, 'num1' AS label, 'numeric-fast' AS route, n * 8 AS raw, 40::BIGINT AS bytes, true AS ok FROM t WHERE n >= 16 AND lo = hi AND lo > 0""")
+def engine_fixed_step(s, d):
+    return _engine_blocks(_keys(s, d), 8)
+
+
+_WAVE = "(10000 + abs(event_id % 2000 - 1000)) / 100"
+
+
+@_query("engine_float_plan", f"""WITH {ALP.replace(VALUES, _lane_sql("events", "event_id", _WAVE + ".0::DOUBLE", 2048), 1)} SELECT block_id, 'alp8' AS label, 'float-general' AS route, n * 8 AS raw, bytes, true AS ok FROM alp""")
+def engine_float_plan(s, d):
+    return _engine_blocks(lanes.lane(_table(s, d, "events"), "event_id", _WAVE + "D", 2048), 8)
+
+
+@_query("engine_numeric_plan", f"""WITH {_lane_sql("events", "event_id", "1780000000000 + 1000 * event_id + event_id % 3", 8192)}, {D},
+t AS (SELECT block_id, count(*) AS n, {_bw('max(v) - min(v)')} AS w1, {_bw('max(' + _zz('d') + ')')} AS w2, {_bw('max(' + _zz('dd') + ')')} AS w3 FROM d GROUP BY block_id)
+SELECT block_id, 'num1' AS label, 'numeric-general' AS route, n * 8 AS raw, 40 + least(ceil(n * w1 / 8.0), ceil((n - 1) * w2 / 8.0), ceil((n - 2) * w3 / 8.0))::BIGINT AS bytes, true AS ok FROM t""")
+def engine_numeric_plan(s, d):
+    return _engine_blocks(lanes.lane(_table(s, d, "events"), "event_id", "1780000000000 + 1000 * event_id + event_id % 3", 8192), 8)
+
+
+@_query("engine_documents", "SELECT doc_id::VARCHAR AS file_id, ceil(octet_length(encode(text)) / 65536.0)::BIGINT AS blocks, 0::BIGINT AS damaged, true AS complete, octet_length(encode(text))::BIGINT AS bytes FROM documents WHERE strlen(text) > 0")
+def engine_documents(s, d):
+    """Every document planned and encoded by the engine (profile fast), decoded and checked."""
+    from blockwright.engine import Config, Engine
+
+    engine = Engine(Config(block_size=65536, profile="fast"))
+    return engine.verify(engine.compress(_texts(s, d).select(F.col("block_id").cast("string").alias("file_id"), "data")))
 
 
 def _stored_pages(s, d):
@@ -607,7 +680,7 @@ ts AS (SELECT block_id, tier, plan, label, (estimate * 1000000 // greatest(size,
  + decode * CASE tier WHEN 'hot' THEN 6000 * 20 WHEN 'warm' THEN 1300 * 17 ELSE 300 * 5 END + (memory * 1000 // greatest(size, 1)) * CASE tier WHEN 'cold' THEN 4 ELSE 5 END AS score FROM sc, tiers)
 SELECT tier, label, count(*) AS blocks FROM (SELECT * FROM ts QUALIFY row_number() OVER (PARTITION BY block_id, tier ORDER BY score, plan) = 1) GROUP BY ALL""")
 def tier_plan(s, d):
-    estimates = planner.estimated(profile.block_profile(_byte_blocks(s, d)), planner.candidates(s))
+    estimates = planner.estimated(profile.block_profile(_texts(s, d)), planner.candidates(s))
     parts = [planner.selected(planner.scored(estimates, p)).select(F.lit(t).alias("tier"), "label") for t, p in (("hot", "fast"), ("warm", "balanced"), ("cold", "dense"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("tier", "label").agg(F.count("*").alias("blocks"))
 
@@ -645,11 +718,11 @@ def stream_blocks(s, d):
 
 
 def _profiles(s, d):
-    return profile.block_profile(_byte_blocks(s, d))
+    return profile.block_profile(_texts(s, d))
 
 
-@_query("early_raw_and_fast_path", f"""WITH {PROFILE} SELECT block_id, h0 > 7.985 AND greatest(run_score, delta_score, repetition) < 0.002 AS early_raw,
-CASE WHEN incompressibility > 0.985 AND h0 > 7.985 AND repetition < 0.003 THEN 'raw' WHEN zero_ratio > 0.985 OR run_score > 0.92 THEN 'rle' WHEN repetition > 0.55 THEN 'lz_fast+huffman' WHEN delta_score > 0.75 AND h0 > 4.0 THEN 'delta+raw+huffman' END AS fast_path FROM prof""")
+@_query("early_raw_and_fast_path", f"""WITH {PROFILE} SELECT block_id, h0 > 7.985 AND greatest(run_score, delta_score, repetition) < 0.002 AND match_length < 4.5 AS early_raw,
+CASE WHEN incompressibility > 0.985 AND h0 > 7.985 AND repetition < 0.003 THEN 'raw' WHEN zero_ratio > 0.985 OR run_score > 0.92 THEN 'rle' WHEN repetition > 0.55 AND match_length >= 12 THEN 'lz_fast+huffman' WHEN delta_score > 0.75 AND h0 > 4.0 THEN 'delta+raw+huffman' END AS fast_path FROM prof""")
 def early_raw_and_fast_path(s, d):
     p = _profiles(s, d)
     return p.select("block_id", policies.early_raw(p).alias("early_raw"), policies.fast_path("fast").alias("fast_path"))
@@ -686,8 +759,8 @@ def plan_regret(s, d):
     return policies.regret(scores, planner.selected(scores))
 
 
-@_query("second_stage_k", f"""WITH {COSTS}, nx AS (SELECT block_id, plan, score, lead(score) OVER w AS next, row_number() OVER w AS rank FROM sc WINDOW w AS (PARTITION BY block_id ORDER BY score, plan))
-SELECT block_id, plan, score::BIGINT AS score, next::BIGINT AS next, CASE WHEN coalesce(next - score < 0.03::DOUBLE * score, false) THEN 3 ELSE 2 END AS k FROM nx WHERE rank = 1""")
+@_query("second_stage_k", f"""WITH {COSTS}, nx AS (SELECT block_id, plan, estimate, confidence, lead(estimate) OVER w AS next, count(*) OVER (PARTITION BY block_id) AS total, row_number() OVER w AS rank FROM sc WINDOW w AS (PARTITION BY block_id ORDER BY score, plan))
+SELECT block_id, plan, estimate, next, least(2 + CASE WHEN next IS NOT NULL AND (greatest(next - estimate, 0) / greatest(estimate, 1) < 0.03::DOUBLE OR confidence < 0.8) THEN 1 ELSE 0 END, total)::INT AS k FROM nx WHERE rank = 1""")
 def second_stage_k(s, d):
     return policies.second_stage(_scores(s, d))
 
@@ -698,7 +771,7 @@ def sample_ranges(s, d):
     return policies.sample_ranges(_profiles(s, d).select("block_id", "size"), 3, 1024)
 
 
-@_query("verification_budget", f"""WITH {_prefilter_sql(TIMES)} SELECT block_id, CASE WHEN confidence >= 0.9 THEN 2 WHEN confidence >= 0.75 THEN 3 ELSE 4 END AS k, CASE WHEN confidence >= 0.9 THEN 20 WHEN confidence >= 0.75 THEN 25 ELSE 30 END + 5 AS lz_weight,
+@_query("verification_budget", f"""WITH {_prefilter_sql(TIMES)} SELECT block_id, CASE WHEN confidence >= 0.95 THEN 2 WHEN confidence >= 0.8 THEN 3 ELSE 4 END AS k, CASE WHEN confidence >= 0.9 THEN 20 WHEN confidence >= 0.75 THEN 25 ELSE 30 END + 5 AS lz_weight,
 CASE WHEN confidence >= 0.9 THEN 25 WHEN confidence >= 0.75 THEN 40 ELSE 55 END AS raw_weight, CASE WHEN 1 - confidence < 0.05 THEN 'high' WHEN 1 - confidence <= 0.15 THEN 'medium' ELSE 'low' END AS class FROM pf""")
 def verification_budget(s, d):
     c = F.col("confidence")

@@ -75,20 +75,21 @@ def huffman_bound(rows: DataFrame) -> DataFrame:
     return h.groupBy("block_id").agg(F.sum("n").alias("size"), F.ceil(F.round(F.sum(-F.col("n") * F.log2(F.col("n") / F.col("all"))), 4) / 8).cast("long").alias("least_bytes"))
 
 
-def alp_parameters(rows: DataFrame, most: int = 18) -> DataFrame:
-    """Per block the exponent pair (e, f), f <= e, of fewest exceptions, the larger e and then f on a tie.
+def alp_parameters(rows: DataFrame) -> DataFrame:
+    """Per block of doubles the exponents (e, f) that its sample (four windows of 16 values) codes in the fewest bits, the
+    lower ones on a tie, and how many values of the whole block do not come back from them, with the exact bytes."""
+    import pyarrow as pa
 
-    A value is an exception if decimal scaling by 10^e and 10^-f, and back with reciprocals as factors, does not give it
-    back. The 190 pairs are a fixed array; what each row unfolds to is counted before anything is shuffled.
-    """
-    f64 = lambda x: F.lit(float(x))
-    pairs = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(f).alias("f"), f64(10**e).alias("up"), f64(1.0 / 10**f).alias("down"), f64(10**f).alias("back"), f64(1.0 / 10**e).alias("unit")) for e in range(most + 1) for f in range(e + 1)])
-    x = rows.select("block_id", "v", F.explode(pairs).alias("p")).select("block_id", "v", "p.*")
-    scaled = F.round(F.col("v") * F.col("up") * F.col("down"))
-    lost = ~F.coalesce(scaled * F.col("back") * F.col("unit") == F.col("v"), F.lit(False)) | (F.abs(scaled) >= 9.0e15)
-    counts = x.groupBy("block_id", "e", "f").agg(F.count("*").alias("n"), F.count_if(lost).alias("exceptions"))
-    best = counts.groupBy("block_id").agg(F.min(F.struct("exceptions", (-F.col("e")).alias("e"), (-F.col("f")).alias("f"), "n")).alias("b"))
-    return best.select("block_id", "b.n", (-F.col("b.e")).alias("e"), (-F.col("b.f")).alias("f"), "b.exceptions")
+    from blockwright.functions import fixed
+
+    def run(t: pa.Table) -> pa.Table:
+        data = t.sort_by("pos").column("v").to_numpy().astype("<f8")
+        v = data.view("<u8")
+        e, f = fixed.alp_exponents(v, 8)
+        lost = int((~fixed.digits(v, 8, e, f)[1]).sum())
+        return pa.table({"block_id": [t.column("block_id")[0].as_py()], "n": [len(v)], "e": pa.array([e], pa.int32()), "f": pa.array([f], pa.int32()), "exceptions": [lost], "bytes": [fixed.alp_size(data.tobytes(), 8)]})
+
+    return rows.groupBy("block_id").applyInArrow(run, "block_id long, n long, e int, f int, exceptions long, bytes long")
 
 
 def columnar_gain(table: DataFrame, key: str, columns: list[str], size: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockwright.functions import measure
 from blockwright.functions.scalars import bit_width, zigzag
 from blockwright.operators import lanes
 from blockwright.operators.lanes import by_block
@@ -69,27 +71,31 @@ def byte_runs(blocks: DataFrame) -> DataFrame:
     return r.select("block_id", F.size("r").cast("long").alias("runs"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x).alias("run_bytes"), F.coalesce(F.array_max("r"), "short").cast("long").alias("longest"))
 
 
-def block_profile(blocks: DataFrame) -> DataFrame:
-    """The block profile over bytes: size, h0, zero and unique bytes, run and delta scores, incompressibility.
+PROFILE = (
+    "size long, h0 double, h1 double, zero_ratio double, unique_bytes long, runs long, longest long, run_score double, delta_score double, repetition double, match_length double, incompressibility double"
+)
 
-    Bytes and byte differences are counted in one aggregation, the difference of a byte standing 256 above it.
-    """
-    before = F.concat(F.array(F.lit(0)), F.slice("codes", F.lit(1), F.size("codes") - 1))
-    both = F.concat("codes", F.zip_with("codes", before, lambda a, b: F.pmod(a - b, F.lit(256)) + 256))
-    counts = blocks.select("block_id", F.explode(both).alias("value")).groupBy("block_id", "value").agg(F.count("*").alias("n"))
-    kind = F.col("value") >= 256
-    p = F.col("n") / F.sum("n").over(Window.partitionBy("block_id", kind))
-    bits = counts.withColumn("bits", -p * F.log2(p))
-    out = bits.groupBy("block_id").agg(
-        F.sum(F.when(~kind, F.col("n"))).alias("size"), F.count_if(~kind).alias("unique_bytes"), F.sum(F.when(F.col("value") == 0, F.col("n")).otherwise(0)).alias("zeros"),
-        F.round(F.sum(F.when(~kind, F.col("bits"))), 6).alias("h0"), F.round(F.sum(F.when(kind, F.col("bits"))), 6).alias("h_delta"),
-    )
-    out = out.join(byte_runs(blocks), "block_id").join(repetition_hits(blocks), "block_id", "left")
-    out = out.withColumn("run_score", F.round(F.col("run_bytes") / F.col("size"), 6)).withColumn("delta_score", F.round(F.greatest(F.col("h0") - F.col("h_delta"), F.lit(0.0)) / 8, 6))
-    out = out.withColumn("repetition", F.round(F.coalesce(F.col("hits") / F.col("probes"), F.lit(0.0)), 6))
-    structure = F.greatest("run_score", "delta_score", "repetition")
-    score = F.least(F.greatest(0.72 * F.col("h0") / 8 + 0.28 * (1 - structure), F.lit(0.0)), F.lit(1.0))
-    return out.select("block_id", "size", "h0", F.round(F.col("zeros") / F.col("size"), 6).alias("zero_ratio"), "unique_bytes", "runs", "longest", "run_score", "delta_score", "repetition", F.round(score, 4).alias("incompressibility"))
+
+def _profiled(level: str):
+    names = [c.split()[0] for c in PROFILE.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                made = [measure.block_profile(x.as_buffer().to_pybytes(), level) for x in part.column("data")]
+                columns = [pa.array([m[n] for m in made], pa.float64() if k.endswith("double") else pa.int64()) for n, k in zip(names, PROFILE.split(", "), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("block_id"), *columns], names=["block_id", *names])
+
+    return run
+
+
+def block_profile(blocks: DataFrame, level: str = "balanced") -> DataFrame:
+    """The profile of each block of (block_id, data binary), in one pass over its bytes and without a shuffle: size,
+    entropies, zero and unique bytes, runs, delta score, repetition, mean match length, incompressibility. Blocks without
+    bytes have none."""
+    some = blocks.where(F.octet_length("data") > 0).select("block_id", "data")
+    return some.mapInArrow(_profiled(level), f"block_id {some.schema['block_id'].dataType.simpleString()}, {PROFILE}")
 
 
 def _prefilter_terms(rows: DataFrame, sample: int, small_bits: int) -> DataFrame:
@@ -150,30 +156,39 @@ def numeric_profile(rows: DataFrame, sample: int = 4096) -> DataFrame:
     return out.select("block_id", "n", "confidence", *six, "delta_p95", "dod_p95")
 
 
+def _of_lanes(rows: DataFrame, measured, schema: str) -> DataFrame:
+    """One row a block, from its values in order: ``measured`` gives a dict, or None for a block without a row."""
+
+    def run(t: pa.Table) -> pa.Table:
+        found = measured(t.sort_by("pos").column("v").to_numpy())
+        names = [c.split()[0] for c in schema.split(", ")]
+        rows = [{"block_id": t.column("block_id")[0].as_py(), **found}] if found else []
+        return pa.table({n: pa.array([r[n] for r in rows], _KINDS[c.split()[1]]) for n, c in zip(names, schema.split(", "), strict=True)})
+
+    return rows.groupBy("block_id").applyInArrow(run, schema)
+
+
+_KINDS = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "int": pa.int32()}
+
+
 def run_profile(rows: DataFrame) -> DataFrame:
-    """Equal and small-change ratios over the sample windows of a 64-bit lane, and whether run coding is admitted."""
-    inside = Window.partitionBy("block_id", "window").orderBy("pos")
-    s = lanes.sample_windows(rows).withColumn("d", F.col("v") - F.lag("v").over(inside))
-    t = s.groupBy("block_id").agg(F.max("n").alias("n"), F.coalesce(_share(F.col("d") == 0), F.lit(0.0)).alias("equal"), F.coalesce(_share(F.abs("d") <= 255), F.lit(0.0)).alias("small"), _share(F.col("v") == 0).alias("splat"))
-    ok = ((F.col("equal") >= 0.8) | ((F.col("equal") >= 0.5) & (F.col("small") >= 0.95))) & (F.col("splat") <= 0.5)
-    return t.where("n >= 64").select("block_id", "n", *[F.round(k, 6).alias(k) for k in ("equal", "small", "splat")], ok.alias("admitted"))
+    """Shares of equal, nearly equal (255 at most, the shorter way round) and one-byte values in the sample windows of a
+    64-bit lane, and whether run coding is admitted; blocks of 64 values and more."""
+
+    def measured(v):
+        p = measure.run_profile(v.astype("<i8").tobytes(), 8)
+        return p and {"n": p["n"], **{k: round(p[k], 6) for k in ("equal", "small", "splat")}, "admitted": p["admitted"]}
+
+    return _of_lanes(rows, measured, "block_id long, n long, equal double, small double, splat double, admitted boolean")
 
 
 def float_profile(rows: DataFrame) -> DataFrame:
-    """Float statistics over the sample windows of a double lane, from values and unsigned text of their bits.
+    """Float statistics over the sample windows of a double lane, from the values' bits, and the first rule it fails."""
 
-    Equal bits are equal values here but for NaN payloads and signed zeros, which are told apart by their hex form.
-    """
-    inside = Window.partitionBy("block_id", "window").orderBy("pos")
-    a = F.abs("v")
-    s = lanes.sample_windows(rows).withColumn("prev", F.lag("v").over(inside)).withColumn("exponent", F.when(F.isnan("v") | (a == float("inf")), 2047).when(a < 2.2250738585072014e-308, 0).otherwise(F.floor(F.log2(a)) + 1023))
-    t = s.groupBy("block_id").agg(
-        F.max("n").alias("n"), _share(F.col("exponent") == 2047).alias("non_finite"), _share(F.col("v") == 0).alias("zero"), _share((F.col("exponent") == 0) & (F.col("v") != 0)).alias("subnormal"),
-        F.countDistinct("exponent").alias("exponents"), _share((F.col("exponent").between(1, 2046)) & (F.abs(F.col("exponent") - 1023) > 200)).alias("implausible"),
-        F.coalesce(_share(F.col("v") == F.col("prev")), F.lit(0.0)).alias("xor_zero"), F.coalesce(_share((F.col("v") < 0) != (F.col("prev") < 0)), F.lit(0.0)).alias("sign_changes"),
-    )
-    reason = (
-        F.when(F.col("n") < 64, "too-short").when(F.col("non_finite") > 0.05, "non-finite").when(F.col("zero") > 0.25, "zero-dominated").when(F.col("subnormal") > 0.05, "subnormal")
-        .when(F.col("exponents") > 16, "exponent-spread").when(F.col("implausible") > 0.05, "implausible-magnitude").otherwise("admitted")
-    )
-    return t.select("block_id", "n", *[F.round(k, 6).alias(k) for k in ("non_finite", "zero", "subnormal", "implausible", "xor_zero", "sign_changes")], "exponents", reason.alias("verdict"))
+    def measured(v):
+        p = measure.float_profile(v.astype("<f8").view("<u8"), 8)
+        six = {k: round(getattr(p, k), 6) for k in ("non_finite", "zero", "subnormal", "implausible", "xor_zero", "xor_bits", "sign_changes")}
+        return {"n": p.n, **six, "exponents": p.exponents, "verdict": p.verdict}
+
+    schema = "block_id long, n long, non_finite double, zero double, subnormal double, implausible double, xor_zero double, xor_bits double, sign_changes double, exponents long, verdict string"
+    return _of_lanes(rows, measured, schema)

@@ -40,15 +40,20 @@ def estimated(profiles: DataFrame, plans: DataFrame) -> DataFrame:
     x = profiles.join(F.broadcast(plans), F.col("size") >= F.col("least_size"))
     h = _clamp(F.col("h0") / 8, 0.02, 1.0)
     entropy = F.when(F.col("entropy") == "none", 1.0).when(F.col("entropy") == "huffman", _clamp(0.04 + 0.96 * h, 0.04, 1.03)).otherwise(_clamp(0.025 + 0.94 * h, 0.03, 1.02))
+    signal = F.greatest("repetition", _clamp(F.col("match_length") / 48, 0.0, 1.0))
     delta = F.when(F.col("transform") == "delta", 1 - 0.55 * _clamp(F.col("delta_score"), 0.0, 0.85)).otherwise(1.0)
     rle = F.when(F.col("codec") == "rle", _clamp(1 - 0.9 * F.greatest("run_score", "zero_ratio"), 0.015, 1.05)).otherwise(1.0)
-    lz = F.when(F.col("codec") == "lz", _clamp(1 - F.col("repetition") * F.when(F.col("lz") == "balanced", 0.72).otherwise(0.62), 0.05, 1.04)).otherwise(1.0)
+    lz = F.when(F.col("codec") == "lz", _clamp(1 - signal * F.when(F.col("lz") == "balanced", 0.72).otherwise(0.62), 0.05, 1.04)).otherwise(1.0)
     meta = F.when(F.col("entropy") == "none", 0).when(F.col("entropy") == "huffman", 260).when(F.col("entropy") == "rans", 516).otherwise(2064)
     size = F.greatest(F.round(F.round(F.col("size") * delta * rle * lz * entropy, 3)), F.lit(1.0)).cast("long") + meta
     enc = F.when(F.col("codec") == "raw", 1).when(F.col("codec") == "rle", 2).when(F.col("lz") == "fast", 4).otherwise(9) + F.when(F.col("entropy") == "none", 0).when(F.col("entropy") == "huffman", 4).when(F.col("entropy") == "rans", 9).otherwise(5) + F.when(F.col("transform") == "delta", 1).otherwise(0)
     dec = F.when(F.col("codec") == "raw", 1).when(F.col("codec") == "rle", 2).otherwise(3) + F.when(F.col("entropy") == "none", 0).when(F.col("entropy") == "huffman", 6).when(F.col("entropy") == "rans", 5).otherwise(3) + F.when(F.col("transform") == "delta", 1).otherwise(0)
     memory = F.col("size") * F.when(F.col("codec") == "lz", 3).otherwise(2)
-    return x.select("block_id", "size", "plan", "label", "codec", "entropy", "transform", "lz", size.cast("long").alias("estimate"), enc.cast("long").alias("encode"), dec.cast("long").alias("decode"), memory.cast("long").alias("memory"))
+    sure = F.greatest(
+        F.lit(0.78), F.when(F.col("transform") == "delta", _clamp(0.60 + F.col("delta_score") * 0.35, 0.0, 0.98)), F.when(F.col("codec") == "rle", _clamp(0.62 + F.greatest("run_score", "zero_ratio") * 0.36, 0.0, 0.99)),
+        F.when(F.col("codec") == "lz", _clamp(0.54 + signal * 0.34, 0.0, 0.94)),
+    )
+    return x.select("block_id", "size", "plan", "label", "codec", "entropy", "transform", "lz", size.cast("long").alias("estimate"), enc.cast("long").alias("encode"), dec.cast("long").alias("decode"), memory.cast("long").alias("memory"), F.round(sure, 6).alias("confidence"))
 
 
 def scored(estimates: DataFrame, profile: str = "balanced") -> DataFrame:

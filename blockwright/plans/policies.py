@@ -10,7 +10,7 @@ PROFILES = ("fast", "balanced", "dense")
 
 def early_raw(p: DataFrame) -> Column:
     """Nothing to gain: near-uniform bytes without runs, trends or repetition."""
-    return (F.col("h0") > 7.985) & (F.greatest("run_score", "delta_score", "repetition") < 0.002)
+    return (F.col("h0") > 7.985) & (F.greatest("run_score", "delta_score", "repetition") < 0.002) & (F.col("match_length") < 4.5)
 
 
 def fast_path(profile: str) -> Column:
@@ -19,7 +19,7 @@ def fast_path(profile: str) -> Column:
     extreme = (F.col("zero_ratio") > 0.985) | (F.col("run_score") > 0.92)
     return (
         F.when((F.col("incompressibility") > 0.985) & (F.col("h0") > 7.985) & (F.col("repetition") < 0.003), "raw").when(extreme & fast, "rle").when(extreme, F.lit(None))
-        .when(fast & (F.col("repetition") > 0.55), "lz_fast+huffman").when(fast & (F.col("delta_score") > 0.75) & (F.col("h0") > 4.0), "delta+raw+huffman")
+        .when(fast & (F.col("repetition") > 0.55) & (F.col("match_length") >= 12), "lz_fast+huffman").when(fast & (F.col("delta_score") > 0.75) & (F.col("h0") > 4.0), "delta+raw+huffman")
     )
 
 
@@ -73,15 +73,19 @@ def hybrid_budget(numeric: Column, generic: Column, profile: str = "balanced") -
 def adaptive_k(confidence: Column, profile: str = "balanced") -> Column:
     """How many candidates are verified: fewer where the estimate is sure."""
     low, mid, high = {"fast": (2, 2, 1), "balanced": (4, 3, 2), "dense": (6, 5, 4)}[profile]
-    return F.when(confidence >= 0.9, high).when(confidence >= 0.75, mid).otherwise(low)
+    return F.when(confidence >= 0.95, high).when(confidence >= 0.80, mid).otherwise(low)
 
 
-def second_stage(scores: DataFrame, margin: float = 0.03) -> DataFrame:
-    """Blocks whose two best candidates are closer than ``margin``: one more is verified."""
+def second_stage(scores: DataFrame, profile: str = "balanced", margin: float = 0.03) -> DataFrame:
+    """How many candidates the second stage encodes, by block: one more where the sizes of the two best by score are closer
+    than ``margin`` or the best one's confidence is low; three at least when dense; never more than there are."""
     w = Window.partitionBy("block_id").orderBy("score", "plan")
-    x = scores.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where("rank = 1")
-    close = (F.col("next") - F.col("score")) < margin * F.col("score")
-    return x.select("block_id", "plan", "score", "next", F.when(F.coalesce(close, F.lit(False)), 3).otherwise(2).alias("k"))
+    every = F.count("*").over(Window.partitionBy("block_id"))
+    x = scores.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("estimate").over(w)).withColumn("all", every).where("rank = 1")
+    gap = F.greatest(F.col("next") - F.col("estimate"), F.lit(0)) / F.greatest(F.col("estimate"), F.lit(1))
+    close = F.col("next").isNotNull() & ((gap < margin) | (F.col("confidence") < 0.8))
+    k = F.lit({"fast": 1, "balanced": 2, "dense": 3}[profile]) + F.when(F.coalesce(close, F.lit(False)), 1).otherwise(0)
+    return x.select("block_id", "plan", "estimate", "next", F.least(F.greatest(k, F.lit(3 if profile == "dense" else 1)), F.col("all")).cast("int").alias("k"))
 
 
 def sample_ranges(sizes: DataFrame, windows: int, length: int) -> DataFrame:
