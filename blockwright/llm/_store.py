@@ -62,6 +62,19 @@ def fields(df: DataFrame) -> str:
     return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+#: Rows of an Arrow batch that holds texts, and the setting and default of Spark's own.
+BATCH_ROWS, _BATCH, _DEFAULT = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose texts will go through Arrow: the session's batches are cut to BATCH_ROWS rows unless someone has set
+    their size, since a batch stands in memory on both sides of the pipe and texts may be long."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def plain_names(df: DataFrame):
     """``df`` with names that a map over Arrow batches can resolve (no dots, spaces or quotes), and the way back."""
     safe = {c: c if c.isidentifier() else f"_named_{i}" for i, c in enumerate(df.columns)}

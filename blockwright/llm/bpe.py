@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm._store import fields, plain_names, table
+from blockwright.llm._store import fields, plain_names, small_batches, table
 from blockwright.llm._words import released
 
 #: Pairs of tokens of either kind, tokens' edges, and steps of the automaton that are remembered.
@@ -292,7 +292,7 @@ def encoded(docs: DataFrame, path: str, text: bool = True) -> DataFrame:
 
     A map over rows; ``path`` names a tokenizer file that every executor can read.
     """
-    docs, named = plain_names(docs.drop("n_tokens", "ids", "decoded"))
+    docs, named = plain_names(small_batches(docs).drop("n_tokens", "ids", "decoded"))
     kept = docs if text else docs.drop("text")
     return named(docs.mapInArrow(_coded(path, text), f"{fields(kept)}{', ' if kept.columns else ''}n_tokens long, ids binary, decoded string"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwright.llm._graph import components
-from blockwright.llm._store import stored, table
+from blockwright.llm._store import small_batches, stored, table
 from blockwright.llm._words import Words, mix, released, runs, slices
 
 WORDS, SIMILARITY = 5, 0.8
@@ -208,7 +208,7 @@ def _compared(size: int, least: float):
 
 def near_links(docs: DataFrame, size: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, root): groups of two or more different texts, by their keys; ``docs`` has key, doc_id, text."""
-    docs = docs.where("text is not null")
+    docs = small_batches(docs).where("text is not null")
     banded = stored(docs.select("key", "text").mapInArrow(_banded(bands, rows, size), "band long, key long"), "bands")
     ends = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("band", "lo")
     members = stored(banded.join(ends, "band").select("lo", "key").distinct(), "candidate-groups")

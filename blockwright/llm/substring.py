@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm._store import plain_names, stored, table
+from blockwright.llm._store import plain_names, small_batches, stored, table
 from blockwright.llm._words import Words, mix, released, runs, slices, windows
 
 LENGTH, LANDMARK = 35, 12
@@ -217,7 +217,7 @@ def substring_deduped(docs: DataFrame, length: int = LENGTH, width: int = WIDTH,
     ``spaced`` keeps the white space after each kept word; otherwise kept words are joined by one space.
     """
     spark = docs.sparkSession
-    docs, named = plain_names(docs.drop("n_words", "n_removed", _KEY, _ONCE))
+    docs, named = plain_names(small_batches(docs).drop("n_words", "n_removed", _KEY, _ONCE))
     bits = spark.sparkContext.broadcast(repeated_bits(docs, length, width))
     keyed = docs.withColumn(_KEY, F.xxhash64("text"))
     found = keyed.where("text is not null").select(_KEY, "text").mapInArrow(_candidates(bits, length, width), "window long, key long, start int")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm._store import fields, plain_names, stored, table
+from blockwright.llm._store import fields, plain_names, small_batches, stored, table
 from blockwright.llm._words import released
 
 #: Labelled rows that teach, at most (the first by a hash of the id).
@@ -158,6 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     At most TRAINING_ROWS rows teach. Every entry with enough evidence in them is taken; entries need LEAST_DOCS toxic
     rows each, so what reaches the driver and is broadcast is bounded by those rows, whatever the size of the corpus.
     """
+    small_batches(docs)
     rows = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"))
     rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(TRAINING_ROWS)
     train = stored(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "toxic"), "toxicity-train")
@@ -187,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from THRESHOLD on). A map over rows: nothing is shuffled."""
-    docs = docs.drop("score", "predicted")
+    docs = small_batches(docs).drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAINING_ROWS
 
     def run(batches):
