@@ -10,15 +10,7 @@ from pyspark.sql import functions as F
 from blockwright.llm import minhash
 from blockwright.llm._graph import components
 from blockwright.llm._words import slices
-
-
-def weights(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
-
-
-def similarity(x, y):
-    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in {*x, *y}) for i in x if i in y)
+from plain import similarity, weights
 
 
 def plain(rows):

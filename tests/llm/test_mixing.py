@@ -6,25 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockwright.llm import mixing
-
-
-def water_filling(sizes, weights, most=3):
-    """Targets by resharing the excess until none is above, as the definition says."""
-    target = {s: 0.0 for s in sizes}
-    left, open_ = float(sum(sizes.values())), set(sizes)
-    while open_ and left > 1e-9:
-        w = sum(weights[s] for s in open_)
-        share = {s: left * weights[s] / w for s in open_}
-        over = {s for s in open_ if target[s] + share[s] > most * sizes[s] + 1e-9}
-        if not over:
-            for s in open_:
-                target[s] += share[s]
-            break
-        for s in over:
-            left -= most * sizes[s] - target[s]
-            target[s] = most * sizes[s]
-        open_ -= over
-    return target
+from plain import water_filling
 
 
 def test_targets_and_copies(docs, rows):

@@ -1,11 +1,12 @@
 import math
 import random
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from blockwright.llm import toxicity
+from plain import plain_score
 
 
 def made(n=900):
@@ -61,25 +62,6 @@ def test_edges(spark, docs, rows, empty):
     assert toxicity.learn(empty, labels)["fit"] == toxicity.DEFAULT_FIT
 
 
-def plain_score(text, lexicon, fit):
-    """A slow scorer: every entry is looked for at every place."""
-    t = toxicity.folded(text or "")
-    exempt = set()
-    for p in toxicity.EXCEPTIONS:
-        p = f" {toxicity.folded(p).strip()} "
-        for s in range(len(t)):
-            if t.startswith(p, s):
-                exempt |= set(range(s, s + len(p) - 1))
-    hits = defaultdict(int)
-    for s in range(len(t)):
-        found = [w for e, w in lexicon.items() if t.startswith(e, s)]
-        if found and s not in exempt:
-            hits[max(found), t[s:].split(" ")[1]] += 1
-    weight = sum(w * (1 + math.log(n)) for (w, _), n in hits.items())
-    x = math.log1p(4 * weight / math.sqrt(len(t.split()) + toxicity.PAD_WORDS))
-    return 1 / (1 + math.exp(-(fit[0] * x + fit[1])))
-
-
 def test_brute_force(spark):
     """Counts, weights and scores against plain versions, a very long text among them."""
     docs, labels = made(300)
