@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from collections import defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
@@ -32,7 +34,7 @@ from blockwright.llm._words import released
 #: Pairs of tokens of either kind, tokens' edges, and steps of the automaton that are remembered.
 PAIRS, CACHE_EDGES, STEPS = 250_000, 20_000, 300_000
 #: Characters of text that are encoded together; what is remembered of words is as large at most.
-BATCH = 1 << 22
+BATCH = 1 << 21
 #: Stands for the token before a word's first.
 NONE = (1 << 20) - 1
 #: The published splitting pattern of this family of vocabularies; a fixed value.
@@ -240,18 +242,22 @@ class ByteBPE:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian, 32 bits each) of each text."""
-        pieces = [self.pieces(t) for t in texts]
-        distinct = set().union(*pieces)
-        special = {p: p.to_bytes(4, "little") for p in distinct if isinstance(p, int)}
-        old = self.before
-        cache = {w: ids for w in distinct if (ids := old.get(w)) is not None}
-        new = sorted(w.encode() for w in distinct if w not in special and w not in cache)
-        for word, ids in self.walk(new):
-            cache[word.decode()] = ids
-        self.before = cache
-        if special:
-            cache = cache | special
-        return [b"".join(map(cache.__getitem__, p)) for p in pieces]
+        number: defaultdict[str | int, int] = defaultdict()  # of a distinct word, so that texts hold no words of their own
+        number.default_factory = number.__len__
+        places = [array("I", map(number.__getitem__, self.pieces(t))) for t in texts]
+        number.default_factory = None  # else the two hold each other, and their words with them
+        codes, old, new = [b""] * len(number), self.before, {}
+        for w, k in number.items():
+            if isinstance(w, int):
+                codes[k] = w.to_bytes(4, "little")
+            elif (ids := old.get(w)) is not None:
+                codes[k] = ids
+            else:
+                new[w.encode()] = k
+        for word, ids in self.walk(sorted(new)):
+            codes[new[word]] = ids
+        self.before = dict(zip(number, codes, strict=True))
+        return [b"".join(map(codes.__getitem__, p)) for p in places]
 
     def decode(self, packed: bytes) -> str:
         return b"".join(map(self.token.__getitem__, memoryview(packed).cast("I"))).decode("utf-8", "replace")
