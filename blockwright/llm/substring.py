@@ -222,9 +222,9 @@ def substring_deduped(docs: DataFrame, length: int = LENGTH, width: int = WIDTH,
     keyed = docs.withColumn(_KEY, F.xxhash64("text"))
     found = keyed.where("text is not null").select(_KEY, "text").mapInArrow(_candidates(bits, length, width), "window long, key long, start int")
     exact = found.groupBy("window").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("start").alias("start"))
-    once = stored(exact.where("n = 1").select("key", "start"), "substring-once")
-    per_text = once.groupBy(F.col("key").alias(_KEY)).agg(F.collect_list("start").alias(_ONCE))  # as long as a text at most
-    joined = keyed.join(per_text, _KEY, "left")
+    per_text = exact.where("n = 1").groupBy(F.col("key").alias(_KEY)).agg(F.collect_list("start").alias(_ONCE))  # as long as a text at most
+    # Written first: the join then reads plain exchanges, of which adaptive execution splits the one that a hot text fills.
+    joined = keyed.join(stored(per_text, "substring-once"), _KEY, "left")
     kinds = dict((f.name, f.dataType.simpleString()) for f in docs.schema.fields)
     names = [c for c in joined.columns if c not in (_ONCE, _KEY, "text")]
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in names), "text string", "n_words long", "n_removed long"])
