@@ -38,3 +38,31 @@ def test_greedy_over_all_segments(spark):
         room -= len(want[-1])
     for candidates in (3, 2000):
         assert dictionary.train(frame, "id", "text", size=600, candidates=candidates) == b"".join(reversed(want))
+
+
+def test_tasks_hand_over_few_segments(spark):
+    """What tasks send to the driver follows ``candidates``, not their number; the dictionary is the same."""
+    rng = random.Random(5)
+    shared = ["".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(40)]
+    texts = ["".join(rng.choice(shared) for _ in range(4)) for _ in range(3000)]
+    context = spark.sparkContext
+    sent = []
+
+    def stages():
+        java = context._jvm
+        return {s.stageId(): s.resultSize() for s in java.scala.jdk.javaapi.CollectionConverters.asJava(context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(java.double, 0), java.java.util.ArrayList()))}
+
+    def trained(tasks):
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        before = set(stages())
+        out = dictionary.train(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text", size=240, candidates=300)
+        sent.append(sum(n for k, n in stages().items() if k not in before))
+        return out
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert trained("1") == trained("12")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sent[1] < 3 * sent[0]
