@@ -87,15 +87,20 @@ def dictionary_id(data: bytes) -> int:
 
 def _encoded(o: blockplan.Options):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = ["file_id", "block_id", "original_offset", "original_size"]
         for b in batches:
-            for i in range(b.num_rows):  # a block a batch: memory follows the block, not the batch
-                part = b.slice(i, 1)
-                raw = part.column("data")[0].as_py()
-                s = blockplan.encode(raw, o)
-                keep = ["file_id", "block_id", "original_offset", "original_size"]
-                made = [pa.array([s.label]), pa.array([codecs.crc32c(raw)], pa.int64()), pa.array([s.payload], pa.binary()), pa.array([s.plan.route]), pa.array([s.plan.reason])]
-                made += [pa.array([s.plan.estimate], pa.int64()), pa.array([s.saved], pa.int64()), pa.array([s.inner], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=[*keep, "label", "crc", "payload", "route", "reason", "estimate", "saved", "inner"])
+            for part in blocks.pieces(b, "data"):
+                made, crc = [], []
+                for x in part.column("data"):
+                    raw = x.as_buffer().to_pybytes()
+                    made.append(blockplan.encode(raw, o))
+                    crc.append(codecs.crc32c(raw))
+                columns = {
+                    "label": pa.array([m.label for m in made], pa.string()), "crc": pa.array(crc, pa.int64()), "payload": pa.array([m.payload for m in made], pa.binary()),
+                    "route": pa.array([m.plan.route for m in made], pa.string()), "reason": pa.array([m.plan.reason for m in made], pa.string()), "estimate": pa.array([m.plan.estimate for m in made], pa.int64()),
+                    "saved": pa.array([m.saved for m in made], pa.int64()), "inner": pa.array([m.inner for m in made], pa.list_(pa.string())),
+                }
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns.values()], names=[*keep, *columns])
 
     return run
 

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from blockwright.functions import codecs
 from blockwright.plans import blockplan
 
 BLOCK_SIZE = 256 * 1024
+#: Bytes of blocks that a worker takes from a batch at once.
+PIECE = 1 << 20
 SCHEMA = "file_id string, block_id long, original_offset long, original_size int, label string, crc long, payload binary"
 
 
@@ -30,6 +34,17 @@ def chunk(files: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
     return cut.select("file_id", "block_id", "original_offset", F.octet_length("data").alias("original_size"), "data")
 
 
+def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batch as slices of about ``most`` bytes of a binary column, a row at least: what is made of a slice is handed on
+    before the next is read, so memory follows the slice and the largest block, not the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, taken = 0, 0
+    while at < batch.num_rows:
+        end = max(int(np.searchsorted(ends, taken + most, side="right")), at + 1)
+        yield batch.slice(at, end - at)
+        at, taken = end, int(ends[end - 1])
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         labels, crc, payload = [], [], []
@@ -133,8 +148,6 @@ def lane_payloads(rows: DataFrame, codec: str, size: int) -> DataFrame:
     """
 
     def run(t: pa.Table) -> pa.Table:
-        import numpy as np
-
         v = t.sort_by("pos").column("v").to_numpy()
         if codec.startswith("num1"):
             best = min((len(codecs.numeric_encode(v, m)), m) for m in (1, 2, 3))[1] if codec == "num1" else int(codec[-1])

@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from blockwright.functions import fixed, measure
+from blockwright.functions import codecs, fixed, measure
 from blockwright.plans import blockplan
 from blockwright.plans.blockplan import Options
 
@@ -160,3 +160,14 @@ def plain_repetition(data):
 @given(st.binary(max_size=300).map(lambda b: b * 3) | st.lists(st.sampled_from([b"abcdefgh" * 4, b"x" * 17, b"0123456789abcdef"]), max_size=40).map(b"".join))
 def test_repetition(data):
     assert measure.repetition(np.frombuffer(data, np.uint8)) == plain_repetition(data)
+
+
+def test_no_sample_is_encoded_twice(monkeypatch):
+    """Layouts that share a codec share what it made of a sample, in both stages."""
+    seen = []
+    for name, (encode, decode) in list(codecs.BYTES.items()):
+        if name != "raw":
+            monkeypatch.setitem(codecs.BYTES, name, (lambda d, name=name, encode=encode: (seen.append((name, d)), encode(d))[1], decode))
+    data = b" ".join(b"%d" % (k * k % 977) for k in range(1500))
+    blockplan.plan(data, Options("balanced"))
+    assert seen and len(seen) == len(set(seen))

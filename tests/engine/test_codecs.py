@@ -1,3 +1,4 @@
+import random
 import struct
 
 import numpy as np
@@ -79,3 +80,25 @@ def test_truncated_numeric_payloads(made):
     for k in range(len(good) - 1):
         with pytest.raises((ValueError, struct.error)):
             decode(good[:k])
+
+
+def test_checksum_and_prefix_codes_of_all_lengths():
+    """The checksum in spans equals the one byte by byte; codes longer than the decoder's window come back."""
+    rng = random.Random(11)
+    for n in (0, 1, 63, 64, 65, 255, 256, 257, 5000):
+        data, c = rng.randbytes(n), 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        assert C.crc32c(data) == c ^ 0xFFFFFFFF
+    counts = [1, 1]
+    while len(counts) < 22:
+        counts.append(counts[-1] + counts[-2])
+    data = bytes(rng.sample([k for k, n in enumerate(counts) for _ in range(n)], sum(counts)))
+    coded = C.huffman_encode(data)
+    assert max(coded[4:260]) == 21 and C.huffman_decode(coded, len(data)) == data and C.huffman_size(data) == len(coded)
+    broken = bytearray(coded)
+    broken[4:260] = bytes([1, 1, 1] + [200] * 253)  # no code table: an overflow before, which stopped the other blocks
+    with pytest.raises(ValueError):
+        C.huffman_decode(bytes(broken), len(data))
