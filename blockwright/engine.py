@@ -198,6 +198,10 @@ class Engine:
     def verify(self, stored: DataFrame) -> DataFrame:
         return blocks.verify(stored, self.dictionaries)
 
+    def check(self, stored: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+        """The sizes of each block and what is wrong with it, without its bytes (``blocks.check``)."""
+        return blocks.check(stored, self.dictionaries, carried)
+
     inspect = staticmethod(blocks.inspect)
     train = staticmethod(dictionary.train)
 

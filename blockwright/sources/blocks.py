@@ -65,21 +65,36 @@ def encode(blocks: DataFrame) -> DataFrame:
     return blocks.select("file_id", "block_id", "original_offset", "original_size", "data", "label").mapInArrow(_encode, SCHEMA)
 
 
+def _decoded(b: pa.RecordBatch, dictionaries: dict[int, bytes]) -> Iterator[tuple[bytes | None, str | None]]:
+    """Each block's bytes, or what is wrong with it."""
+    for payload, label, size, crc in zip(b.column("payload"), b.column("label").to_pylist(), b.column("original_size").to_pylist(), b.column("crc").to_pylist(), strict=True):
+        try:
+            raw = payload.as_py()
+            out = blockplan.decode(raw, label, size, _named(raw, label, dictionaries))
+            bad = None if codecs.crc32c(out) == crc else "checksum"
+        except (ValueError, KeyError, IndexError, codecs.struct.error) as e:
+            out, bad = None, str(e) or type(e).__name__
+        yield None if bad else out, bad
+
+
 def _decode(dictionaries: dict[int, bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = ["file_id", "block_id", "original_offset", "original_size"]
+        for b in batches:
+            for part in pieces(b, "payload"):
+                data, error = zip(*_decoded(part, dictionaries), strict=True)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(data, pa.binary()), pa.array(error, pa.string())], names=[*keep, "data", "error"])
+
+    return run
+
+
+def _check(dictionaries: dict[int, bytes], carried: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = ["file_id", "block_id", "original_size", "label", *carried]
         for b in batches:
-            data, error = [], []
-            for payload, label, size, crc in zip(b.column("payload"), b.column("label").to_pylist(), b.column("original_size").to_pylist(), b.column("crc").to_pylist(), strict=True):
-                try:
-                    raw = payload.as_py()
-                    out = blockplan.decode(raw, label, size, _named(raw, label, dictionaries))
-                    bad = None if codecs.crc32c(out) == crc else "checksum"
-                except (ValueError, KeyError, IndexError, codecs.struct.error) as e:
-                    out, bad = None, str(e) or type(e).__name__
-                data.append(None if bad else out)
-                error.append(bad)
-            keep = ["file_id", "block_id", "original_offset", "original_size"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(data, pa.binary()), pa.array(error, pa.string())], names=[*keep, "data", "error"])
+            found = [(None if out is None else len(out), bad) for out, bad in _decoded(b, dictionaries)]  # the bytes stay here
+            made = [pc.binary_length(b.column("payload")), pa.array([n for n, _ in found], pa.int32()), pa.array([bad for _, bad in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], names=[*keep, "stored", "decoded", "error"])
 
     return run
 
@@ -100,12 +115,19 @@ def decode(stored: DataFrame, dictionaries: dict[int, bytes] | None = None) -> D
     return stored.select(*columns).mapInArrow(_decode(dictionaries or {}), "file_id string, block_id long, original_offset long, original_size int, data binary, error string")
 
 
+def check(stored: DataFrame, dictionaries: dict[int, bytes] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(file_id, block_id, original_size, label, ``carried``, stored, decoded, error): every block decoded where it lies, with its
+    sizes and what is wrong with it; no bytes come back."""
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    more = "".join(f", {c} {stored.schema[c].dataType.simpleString()}" for c in carried)
+    return stored.select(*columns, *carried).mapInArrow(_check(dictionaries or {}, carried), f"file_id string, block_id long, original_size int, label string{more}, stored int, decoded int, error string")
+
+
 def verify(stored: DataFrame, dictionaries: dict[int, bytes] | None = None) -> DataFrame:
     """One row per file: blocks, damaged blocks, whether ids run from 0 without a gap, decoded bytes."""
-    d = decode(stored, dictionaries)
-    return d.groupBy("file_id").agg(
+    return check(stored, dictionaries).groupBy("file_id").agg(
         F.count("*").alias("blocks"), F.count_if(F.col("error").isNotNull()).alias("damaged"),
-        ((F.min("block_id") == 0) & (F.max("block_id") + 1 == F.count("*")) & (F.countDistinct("block_id") == F.count("*"))).alias("complete"), F.sum(F.octet_length("data")).alias("bytes"),
+        ((F.min("block_id") == 0) & (F.max("block_id") + 1 == F.count("*")) & (F.countDistinct("block_id") == F.count("*"))).alias("complete"), F.sum("decoded").alias("bytes"),
     )
 
 

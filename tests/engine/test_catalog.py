@@ -37,3 +37,10 @@ def test_query(spark, duck, name):
     at = [found.columns.index(c) for c in out.columns]
     want = Counter(tuple(plain(r[i]) for i in at) for r in found.fetchall())
     assert Counter(tuple(plain(v) for v in r) for r in rows) == want
+
+
+@pytest.mark.parametrize("name", ["engine_float_plan", "engine_numeric_plan", "engine_fixed_step"])
+def test_engine_blocks_once(spark, name):
+    """Blocks are encoded once and checked once, and nothing is joined."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
