@@ -17,7 +17,8 @@ def encode_stream(spark: SparkSession, source: str, schema: str, out: str, check
     files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        cut = blocks.chunk(batch, block_size).withColumn("label", F.lit(label))
+        # A batch is a few files, and so a few tasks: their blocks are dealt to all cores.
+        cut = blocks.chunk(batch, block_size).repartition(spark.sparkContext.defaultParallelism, "file_id", "block_id").withColumn("label", F.lit(label))
         blocks.encode(cut).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     query = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -89,3 +89,12 @@ def test_empty_and_null_lanes(spark):
     rows = lanes.lane(spark.createDataFrame([(0, 5), (1, None), (2, 9)], "k long, x long"), "k", "x", 10)
     assert [r["d"] for r in lanes.delta(rows).orderBy("pos").collect()] == [None, None, None]
     assert segments.segments(segments.window_classes(rows.limit(0), 4)).count() == 0
+
+
+def test_stream_deals_blocks(spark, tmp_path):
+    """A batch of one file is encoded by all cores, to the same blocks."""
+    data = bytes(range(256)) * 200
+    spark.createDataFrame([("a", data)], "file_id string, data binary").coalesce(1).write.parquet(str(tmp_path / "in"))
+    n = encoder.encode_stream(spark, str(tmp_path / "in"), "file_id string, data binary", str(tmp_path / "out"), str(tmp_path / "log"), "rle", 1024)
+    assert n == 50 and len(list((tmp_path / "out").glob("epoch=0/part-*"))) == spark.sparkContext.defaultParallelism
+    assert b"".join(blocks.stream_blocks(blocks.decode(spark.read.parquet(str(tmp_path / "out"))))) == data
