@@ -155,7 +155,7 @@ class Engine:
 
     def compress_with_stats(self, files: DataFrame) -> DataFrame:
         """(file_id, data) to stored blocks, each by its own plan, with route, reason, estimate, bytes that a dictionary saved, and the labels of inner blocks."""
-        return self.chunk(files).mapInArrow(_encoded(self.config.options()), f"{blocks.SCHEMA}, {PLAN_SCHEMA}")
+        return blocks.small_batches(self.chunk(files)).mapInArrow(_encoded(self.config.options()), f"{blocks.SCHEMA}, {PLAN_SCHEMA}")
 
     def compress(self, files: DataFrame) -> DataFrame:
         """(file_id, data) to stored blocks, each by its own plan; a layout that does not pay falls back to raw."""
@@ -220,7 +220,7 @@ class Engine:
     def explain(self, files: DataFrame, exhaustive: bool = False) -> DataFrame:
         """One row per block: the layout planned, its route and reason, all candidates by rank with size, score and confidence,
         those inside the envelope, and the profile. ``exhaustive`` also encodes every layout, and names the smallest."""
-        return self.chunk(files).mapInArrow(_explained(self.config.options(), exhaustive), EXPLAIN_SCHEMA)
+        return blocks.small_batches(self.chunk(files)).mapInArrow(_explained(self.config.options(), exhaustive), EXPLAIN_SCHEMA)
 
     def decompress_stream(self, spark: SparkSession, source: str, out: str, checkpoint: str) -> int:
         """Decodes blocks that arrive under ``source`` as a block table into (file_id, block_id, ..., data, error) at ``out``; returns how many."""

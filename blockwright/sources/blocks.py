@@ -20,6 +20,8 @@ from blockwright.plans import blockplan
 BLOCK_SIZE = 256 * 1024
 #: Bytes of blocks that a worker takes from a batch at once.
 PIECE = 1 << 20
+#: Bytes of an Arrow batch that holds blocks, and the setting and default of Spark's own.
+BATCH, _BATCH, _DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864"
 SCHEMA = "file_id string, block_id long, original_offset long, original_size int, label string, crc long, payload binary"
 
 
@@ -34,6 +36,15 @@ def chunk(files: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
     return cut.select("file_id", "block_id", "original_offset", F.octet_length("data").alias("original_size"), "data")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose blocks will go through Arrow: the session's batches are cut to BATCH bytes unless someone has set their size,
+    since a batch stands in memory on both sides of the pipe, of every pipe of a task."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH).rstrip("b") == _DEFAULT:
+        conf.set(_BATCH, str(BATCH))
+    return df
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The batch as slices of about ``most`` bytes of a binary column, a row at least: what is made of a slice is handed on
     before the next is read, so memory follows the slice and the largest block, not the batch."""
@@ -46,23 +57,24 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[pa
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        labels, crc, payload = [], [], []
-        for data, label in zip(b.column("data"), b.column("label").to_pylist(), strict=True):
-            raw = data.as_py()
-            out = codecs.encode_plan(raw, label)
-            if len(out) + blockplan.MIN_GAIN >= len(raw):  # the raw layout costs about the same and decodes at once
-                label, out = "raw", raw
-            labels.append(label)
-            crc.append(codecs.crc32c(raw))
-            payload.append(out)
-        keep = ["file_id", "block_id", "original_offset", "original_size"]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(labels, pa.string()), pa.array(crc, pa.int64()), pa.array(payload, pa.binary())], names=[*keep, "label", "crc", "payload"])
+    keep = ["file_id", "block_id", "original_offset", "original_size"]
+    for batch in batches:
+        for b in pieces(batch, "data"):
+            labels, crc, payload = [], [], []
+            for data, label in zip(b.column("data"), b.column("label").to_pylist(), strict=True):
+                raw = data.as_py()
+                out = codecs.encode_plan(raw, label)
+                if len(out) + blockplan.MIN_GAIN >= len(raw):  # the raw layout costs about the same and decodes at once
+                    label, out = "raw", raw
+                labels.append(label)
+                crc.append(codecs.crc32c(raw))
+                payload.append(out)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(labels, pa.string()), pa.array(crc, pa.int64()), pa.array(payload, pa.binary())], names=[*keep, "label", "crc", "payload"])
 
 
 def encode(blocks: DataFrame) -> DataFrame:
     """Blocks with a label (the plan chosen for each) to stored blocks."""
-    return blocks.select("file_id", "block_id", "original_offset", "original_size", "data", "label").mapInArrow(_encode, SCHEMA)
+    return small_batches(blocks).select("file_id", "block_id", "original_offset", "original_size", "data", "label").mapInArrow(_encode, SCHEMA)
 
 
 def _decoded(b: pa.RecordBatch, dictionaries: dict[int, bytes]) -> Iterator[tuple[bytes | None, str | None]]:
@@ -112,7 +124,7 @@ def _named(payload: bytes, label: str, dictionaries: dict[int, bytes]) -> bytes:
 def decode(stored: DataFrame, dictionaries: dict[int, bytes] | None = None) -> DataFrame:
     """Stored blocks to data; a damaged block has a null and an error, and does not stop the others. ``dictionaries`` by id: few and small."""
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    return stored.select(*columns).mapInArrow(_decode(dictionaries or {}), "file_id string, block_id long, original_offset long, original_size int, data binary, error string")
+    return small_batches(stored).select(*columns).mapInArrow(_decode(dictionaries or {}), "file_id string, block_id long, original_offset long, original_size int, data binary, error string")
 
 
 def check(stored: DataFrame, dictionaries: dict[int, bytes] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -120,7 +132,7 @@ def check(stored: DataFrame, dictionaries: dict[int, bytes] | None = None, carri
     sizes and what is wrong with it; no bytes come back."""
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
     more = "".join(f", {c} {stored.schema[c].dataType.simpleString()}" for c in carried)
-    return stored.select(*columns, *carried).mapInArrow(_check(dictionaries or {}, carried), f"file_id string, block_id long, original_size int, label string{more}, stored int, decoded int, error string")
+    return small_batches(stored).select(*columns, *carried).mapInArrow(_check(dictionaries or {}, carried), f"file_id string, block_id long, original_size int, label string{more}, stored int, decoded int, error string")
 
 
 def verify(stored: DataFrame, dictionaries: dict[int, bytes] | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,14 @@ def test_stream_deals_blocks(spark, tmp_path):
     n = encoder.encode_stream(spark, str(tmp_path / "in"), "file_id string, data binary", str(tmp_path / "out"), str(tmp_path / "log"), "rle", 1024)
     assert n == 50 and len(list((tmp_path / "out").glob("epoch=0/part-*"))) == spark.sparkContext.defaultParallelism
     assert b"".join(blocks.stream_blocks(blocks.decode(spark.read.parquet(str(tmp_path / "out"))))) == data
+
+
+def test_batches_hold_few_bytes(spark):
+    """Blocks come and go by the megabyte: no batch that a worker holds grows with the table."""
+    blob = [bytes([k % 251, k % 13]) * 2048 for k in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 2000), pa.array(range(2000)), pa.array(range(2000)), pa.array([4096] * 2000, pa.int32()), pa.array(blob, pa.binary()), pa.array(["raw"] * 2000)], names=["file_id", "block_id", "original_offset", "original_size", "data", "label"])
+    out = list(blocks._encode(iter([batch])))
+    assert max(b.num_rows for b in out) == 256 and sum(b.num_rows for b in out) == 2000
+    files = spark.range(0, 3000, 1, 1).select(F.col("id").cast("string").alias("file_id"), F.expr("cast(repeat('xy', 4096) as binary)").alias("data"))
+    seen = blocks.small_batches(files).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").collect()
+    assert max(r["n"] for r in seen) * 8192 <= blocks.BATCH + 8192
