@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 
 from blockwright.functions import codecs
 from blockwright.plans import blockplan
+from blockwright.sources import BATCH, small_batches  # noqa: F401
 
 BLOCK_SIZE = 256 * 1024
 #: Bytes of blocks that a worker takes from a batch at once.
 PIECE = 1 << 20
-#: Bytes of an Arrow batch that holds blocks, and the setting and default of Spark's own.
-BATCH, _BATCH, _DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864"
 SCHEMA = "file_id string, block_id long, original_offset long, original_size int, label string, crc long, payload binary"
 
 
@@ -36,15 +35,6 @@ def chunk(files: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
     return cut.select("file_id", "block_id", "original_offset", F.octet_length("data").alias("original_size"), "data")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose blocks will go through Arrow: the session's batches are cut to BATCH bytes unless someone has set their size,
-    since a batch stands in memory on both sides of the pipe, of every pipe of a task."""
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH).rstrip("b") == _DEFAULT:
-        conf.set(_BATCH, str(BATCH))
-    return df
-
-
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The batch as slices of about ``most`` bytes of a binary column, a row at least: what is made of a slice is handed on
     before the next is read, so memory follows the slice and the largest block, not the batch."""

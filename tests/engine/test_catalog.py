@@ -44,3 +44,14 @@ def test_engine_blocks_once(spark, name):
     """Blocks are encoded once and checked once, and nothing is joined."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2 and "Join" not in plan
+
+
+def test_entropy_h1_in_place(spark, duck):
+    """No row per byte pair: nothing is aggregated in a task's memory or shuffled by block; blocks of one byte have no row."""
+    out = catalog.QUERIES["entropy_h1"](spark, SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan
+    few = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b"")), (3, bytearray(b"ab")), (4, None)], "block_id long, data binary")
+    from blockwright.operators import profile
+
+    assert [tuple(r) for r in profile.sampled_entropy_h1(few).collect()] == [(3, 0.0)]
