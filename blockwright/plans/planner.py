@@ -19,6 +19,8 @@ CANDIDATES = [
     (15, "", "lz", "balanced", "huffman", 0), (16, "", "lz", "balanced", "rans", 4096), (17, "", "lz", "balanced", "rans4x", 16384),
     (18, "delta", "lz", "fast", "huffman", 0), (19, "delta", "lz", "fast", "rans", 4096), (20, "delta", "lz", "balanced", "huffman", 0), (21, "delta", "lz", "balanced", "rans", 4096),
 ]
+#: More than the number of any layout.
+_PLANS = 64
 #: Weights of size, encoding, decoding and memory, and the scales of the two work terms, by profile. Fixed values.
 WEIGHTS = {"fast": (20, 55, 20, 5, 34000, 6000), "balanced": (60, 18, 17, 5, 3500, 1300), "dense": (86, 5, 5, 4, 550, 300)}
 #: Parts per million over the best size that a candidate may cost and stay in the running.
@@ -83,6 +85,18 @@ def selected(scores: DataFrame) -> DataFrame:
     return best.select("block_id", "b.plan", "b.label", "b.estimate", "b.size", "b.score")
 
 
+def selected_by_tier(estimates: DataFrame, tiers: dict[str, str]) -> DataFrame:
+    """(block_id, tier, plan, label): what ``selected`` chooses by each tier's profile, from one pass over the estimates.
+
+    A score and its plan are one integer, so a block's least is kept in a hash table of numbers before anything is shuffled.
+    """
+    for tier, profile in tiers.items():
+        estimates = scored(estimates, profile).withColumn(f"of_{tier}", F.col("score") * _PLANS + F.col("plan")).drop("score")
+    best = estimates.groupBy("block_id").agg(*[F.min(f"of_{t}").alias(f"of_{t}") for t in tiers])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), (F.col(f"of_{t}") % _PLANS).cast("int").alias("plan")) for t in tiers])).alias("t")
+    return best.select("block_id", each).select("block_id", "t.*").join(F.broadcast(candidates(estimates.sparkSession).select("plan", "label")), "plan")
+
+
 def family_representatives(scores: DataFrame, k: int = 3) -> DataFrame:
     """The first ``k`` candidates of a block, and the best of each codec family that is not among them."""
     family = Window.partitionBy("block_id", "codec").orderBy("score", "plan")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from blockwright import catalog
 
@@ -55,3 +56,17 @@ def test_entropy_h1_in_place(spark, duck):
     from blockwright.operators import profile
 
     assert [tuple(r) for r in profile.sampled_entropy_h1(few).collect()] == [(3, 0.0)]
+
+
+def test_tiers_in_one_pass(spark):
+    """Blocks are profiled once for all tiers, and the choice is that of each tier alone, ties included."""
+    assert catalog.QUERIES["tier_plan"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    from blockwright.operators import profile
+    from blockwright.plans import planner
+
+    estimates = planner.estimated(profile.block_profile(catalog._texts(spark, SF)), planner.candidates(spark))
+    tied = estimates.withColumn("estimate", F.floor(F.col("estimate") / 4096)).withColumn("encode", F.lit(1).cast("long")).withColumn("decode", F.lit(1).cast("long"))
+    for x in (estimates, tied):
+        got = {tuple(r) for r in planner.selected_by_tier(x, {"a": "fast", "b": "dense"}).select("tier", "block_id", "plan", "label").collect()}
+        want = {(t, *r) for t, p in (("a", "fast"), ("b", "dense")) for r in planner.selected(planner.scored(x, p)).select("block_id", "plan", "label").collect()}
+        assert got == want
