@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +117,7 @@ def _banded(bands: int, rows: int, size: int):
     def run(batches):
         for b in batches:
             keys = b.column("key").to_numpy(zero_copy_only=False)
+            sizes = pc.binary_length(b.column("text")).cast(pa.int32()).to_numpy(zero_copy_only=False)
             for a in range(0, b.num_rows, _TEXTS):
                 part = b.slice(a, _TEXTS)
                 for i, j, words in slices(part.column("text"), _TEXT_BYTES):
@@ -127,7 +129,8 @@ def _banded(bands: int, rows: int, size: int):
                     some = np.flatnonzero(np.bincount(doc, minlength=j - i) > 0)
                     key = keys[a + i : a + j][some]
                     _, one = np.unique(key, return_index=True)  # copies in this slice are one node
-                    yield pa.RecordBatch.from_arrays([pa.array(out[some][one].ravel().view(np.int64)), pa.array(np.repeat(key[one], bands))], names=["band", "key"])
+                    held = [out[some][one].ravel().view(np.int64), np.repeat(key[one], bands), np.repeat(sizes[a + i : a + j][some][one], bands)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["band", "key", "bytes"])
 
     return released(run)
 
@@ -209,30 +212,32 @@ def _compared(size: int, least: float):
 def near_links(docs: DataFrame, size: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, root): groups of two or more different texts, by their keys; ``docs`` has key, doc_id, text."""
     docs = small_batches(docs).where("text is not null")
-    banded = stored(docs.select("key", "text").mapInArrow(_banded(bands, rows, size), "band long, key long"), "bands")
+    banded = stored(docs.select("key", "text").mapInArrow(_banded(bands, rows, size), "band long, key long, bytes int"), "bands")
     ends = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("band", "lo")
-    members = stored(banded.join(ends, "band").select("lo", "key").distinct(), "candidate-groups")
+    members = banded.join(ends, "band").groupBy("lo", "key").agg(F.max("bytes").alias("bytes"))
+    members = stored(members, "candidate-groups")
     # One text per candidate key. The chosen row is joined by id too, so copies of one text do not meet in one task.
     # The least id of a key is found first, with map-side combining, and only then compared with the candidates.
     least_ids = docs.groupBy("key").agg(F.min("doc_id").alias("_id"))
-    wanted = least_ids.join(members.select("key").distinct(), "key", "left_semi")
-    wanted = stored(wanted.withColumnRenamed("key", "_key"), "candidates")
+    wanted = least_ids.join(members.select("key").distinct(), "key", "left_semi").withColumnRenamed("key", "_key")
     # Candidates grow with the corpus, so they are never broadcast, however few they are today.
-    texts = docs.join(wanted.hint("merge"), (docs["key"] == wanted["_key"]) & docs["doc_id"].eqNullSafe(wanted["_id"])).select("key", "text")
+    texts = docs.join(wanted.hint("merge"), (docs["key"] == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id"))).select("key", "text")
     texts = stored(texts.dropDuplicates(["key"]), "candidate-texts")
-    sized = members.join(texts.select("key", F.octet_length("text").alias("bytes")), "key")
-    sized = stored(sized, "sized-groups")
     pieces_needed = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).cast("int")
-    groups = stored(sized.groupBy("lo").agg(pieces_needed.alias("chunks")), "group-chunks")
-    dealt = stored(sized.join(groups, "lo").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")).cast("int")), "dealt-groups")
-    heads = groups.where("chunks > 1").select("lo", F.col("lo").alias("key"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    first = dealt.drop("bytes").unionByName(heads).join(texts, "key").select("lo", "chunk", "key", "text")
-    links = stored(first.groupBy("lo", "chunk").applyInArrow(_compared(size, least), "a long, b long").distinct(), "links-1")
+    groups = stored(members.groupBy("lo").agg(pieces_needed.alias("chunks")).where("chunks > 1"), "large-groups")
+    chunk = F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")).cast("int")
+    dealt = members.join(groups, "lo", "left").withColumn("chunk", F.coalesce(chunk, F.lit(0))).select("lo", "key", "chunk")
+    heads = groups.select("lo", F.col("lo").alias("key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    first = dealt.unionByName(heads).join(texts, "key").select("lo", "chunk", "key", "text")
+    links = stored(first.groupBy("lo", "chunk").applyInArrow(_compared(size, least), "a long, b long"), "links-1")
     linked = stored(components(links).withColumnRenamed("node", "key"), "linked-1")
+    if groups.isEmpty():
+        return linked.withColumnRenamed("key", "node")
     # What is still apart from its group's least key, against the whole group.
-    large = dealt.where("chunks > 1").join(linked, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    head = large.where("key = lo").select("lo", F.col("root").alias("head_root"))
-    large = stored(large.join(head, "lo").withColumn("apart", F.col("root") != F.col("head_root")), "large-groups")
+    heads = groups.join(linked.withColumnRenamed("key", "lo"), "lo", "left").select("lo", "chunks", F.coalesce("root", "lo").alias("head_root"))
+    heads = stored(heads, "large-group-heads")
+    large = members.join(heads, "lo").withColumn("chunk", chunk).join(linked, "key", "left")
+    large = stored(large.withColumn("apart", F.coalesce("root", "key") != F.col("head_root")), "large-group-members")
     sides = large.where("apart").groupBy("lo").agg(pieces_needed.alias("sides"))
     large = large.join(sides, "lo")
     side = F.pmod(F.xxhash64("key", F.lit(2)), F.col("sides")).cast("int")
@@ -240,26 +245,27 @@ def near_links(docs: DataFrame, size: int = WORDS, least: float = SIMILARITY, ba
     theirs = large.withColumn("other", F.col("chunk")).withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     pieces = ["lo", "side", "other", "key", "apart"]
     blocks = mine.select(*pieces).unionByName(theirs.select(*pieces))
-    more = blocks.join(texts, "key").groupBy("lo", "side", "other").applyInArrow(_compared(size, least), "a long, b long").distinct()
+    more = blocks.join(texts, "key").groupBy("lo", "side", "other").applyInArrow(_compared(size, least), "a long, b long")
     more = stored(more, "links-2")
     if more.isEmpty():
         return linked.withColumnRenamed("key", "node")
-    return components(links.unionByName(more))
+    return stored(components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more)), "linked-2")
 
 
 def near_deduped(docs: DataFrame, size: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, key, class_id (the least id of its group), kept."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     groups = near_links(keyed, size, least, bands, rows)
-    narrow = stored(keyed.select("doc_id", F.when(F.col("text").isNotNull(), F.col("key")).alias("key")), "document-keys")
-    classes = narrow.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
-    classes = classes.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    best = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("best"))
-    classes = classes.join(best, "root").select("key", F.col("best.id").alias("class_id"), F.col("best.key").alias("best_key"))
-    classes = stored(classes, "document-classes")  # so that the hot keys of the next join come from plain exchanges
-    out = narrow.join(classes, "key", "left")
-    kept = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("best_key")))
-    return out.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("kept"))
+    own = keyed.select("doc_id", F.when(F.col("text").isNotNull(), F.col("key")).alias("key"))
+    narrow = own.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    narrow = stored(narrow.select("doc_id", "key", "root"), "document-keys")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), "key")).alias("best")
+    # Classes of one row need no look-up. Stored, so that the hot keys of the next join come from plain exchanges.
+    classes = narrow.where("root is not null").groupBy("root").agg(best, F.count("*").alias("rows")).where("rows > 1")
+    classes = stored(classes.select("root", "best"), "document-classes")
+    out = narrow.join(classes, "root", "left")
+    kept = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key")))
+    return out.select("doc_id", "key", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.id")).alias("class_id"), kept.alias("kept"))
 
 
 def op6_minhash_near_dedup(spark, sf_dir):

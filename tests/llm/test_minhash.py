@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from blockwright.llm import minhash
+from blockwright.llm import _graph, minhash
 from blockwright.llm._graph import components
 from blockwright.llm._words import slices
 from plain import similarity, weights
@@ -120,3 +120,81 @@ def test_components(spark, kind):
         parent[max(a, b)] = min(a, b)
     out = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["root"] for r in out} == {i: find(i) for i in parent} and len(out) == len(parent)
+
+
+def forest(edges):
+    parent = {}
+
+    def find(i):
+        parent.setdefault(i, i)
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in parent}
+
+
+def tangled(n=300):
+    rng = random.Random(11)
+    out = [(rng.randrange(-n, n), rng.randrange(-n, n)) for _ in range(n)]
+    chain = rng.sample(range(1000, 1000 + n), n)
+    return out + list(zip(chain, chain[1:], strict=False)) + [(5000, 5000), (-(1 << 63), (1 << 63) - 1)]
+
+
+def test_united():
+    edges = tangled()
+    node, root = _graph.united(*np.array(edges, np.int64).T)
+    assert dict(zip(node.tolist(), root.tolist(), strict=True)) == forest(edges)
+    assert not len(_graph.united(*np.zeros((2, 0), np.int64))[0])
+
+
+@pytest.mark.parametrize("small", [-1, 1 << 19])
+def test_components_of_few_and_of_many_links(spark, small, monkeypatch):
+    monkeypatch.setattr(_graph, "SMALL", small)
+    for edges in (tangled(60), [(9, 9)], [(3, 1), (2, 1), (3, 2)]):
+        out = components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+        assert {r["node"]: r["root"] for r in out} == forest(edges) and len(out) == len(forest(edges))
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_other_keys(spark):
+    out = components(spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y")], "a string, b string")).collect()
+    assert sorted(map(tuple, out)) == [("a", "a"), ("b", "a"), ("c", "a"), ("y", "y"), ("z", "y")]
+
+
+def test_few_tables_are_written(spark, monkeypatch):
+    """Every table costs a task and a file for each partition, however small it is."""
+    written = []
+
+    def counting(df, name, f=minhash.stored):
+        written.append(name)
+        return f(df, name)
+
+    monkeypatch.setattr(minhash, "stored", counting)
+    monkeypatch.setattr(_graph, "stored", counting)
+    monkeypatch.setattr(minhash, "CHUNK", 6)
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = minhash.near_deduped(docs).collect()
+    want = plain(rows)
+    assert {r["doc_id"]: r["class_id"] for r in out} == {i: want[t] for i, t in rows}
+    assert "links-2" in written and len(written) <= 12, written
+
+
+def test_more_links_than_one_task_takes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 6)
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    at_once = sorted(map(tuple, minhash.near_deduped(docs).collect()))
+    monkeypatch.setattr(_graph, "SMALL", 3)
+    assert sorted(map(tuple, minhash.near_deduped(docs).collect())) == at_once
+
+
+def test_classes_of_one_row_and_null_ids(spark):
+    rows = [(None, "a b c"), (3, "a b c"), (None, "x y"), (7, None), (None, None), (8, "z"), (8, "z"), (9, "")]
+    out = minhash.near_deduped(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = Counter((r["doc_id"], r["class_id"], r["kept"]) for r in out)
+    assert found == Counter([(None, 3, False), (3, 3, True), (None, None, True), (7, 7, True), (None, None, True), (8, 8, True), (8, 8, True), (9, 9, True)])
